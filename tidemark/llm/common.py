@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tidemark-")
         shared_dir.own = where
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage replaced by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def write_cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again (columnar, so later reads prune)."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` computed once: written as a Parquet table in the shared folder and read again, so that a lost
+    executor costs a read and later reads prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(line: Column) -> Column:
@@ -66,3 +61,15 @@ def id_column(df: DataFrame, name: str = "doc_id") -> Column:
 def restored(column: Column) -> Column:
     """Undo ``id_column``."""
     return F.when(column != F.lit(NO_ID), column)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, where ``PYTHONPATH`` or the working folder doesn't already."""
+    package = Path(__file__).resolve().parents[1]
+    home = str(package.parent)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home in known or getattr(ship, "done", None) == spark.sparkContext.applicationId:
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", home, package.name)
+    spark.sparkContext.addPyFile(archive)
+    ship.done = spark.sparkContext.applicationId

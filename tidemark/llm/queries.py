@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.common import ship
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tidemark.llm.simhash import op5_simhash_ball
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_line_dedup": op7_line_dedup,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: _shipped(q)
+    for q in (
+        op5_simhash_ball,
+        op7_line_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
