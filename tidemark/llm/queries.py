@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import ship
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tidemark.llm.packing import op10_best_fit_packing
 from tidemark.llm.simhash import op5_simhash_ball
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op5_simhash_ball,
         op7_line_dedup,
+        op10_best_fit_packing,
     )
 }
 
