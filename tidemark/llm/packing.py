@@ -150,7 +150,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
 def _pack(capacity: int, turn: int):
     """Packs one partition; ``open``: its bin gives its pieces back if there is another round."""
 
-    def of(key, table: pa.Table) -> pa.Table:
+    def of(key, table):
         part = key[0].as_py()
         order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sizes = order.column("length").to_numpy()
