@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import ship
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
+from tidemark.llm.quality_rules import op1_quality_divergence
 from tidemark.llm.simhash import op5_simhash_ball
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     q.__name__: _shipped(q)
     for q in (
+        op1_quality_divergence,
         op5_simhash_ball,
         op7_line_dedup,
         op10_best_fit_packing,
