@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import ship
+from tidemark.llm.importance import op2_importance_resampling
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
 from tidemark.llm.quality_rules import op1_quality_divergence
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: _shipped(q)
     for q in (
         op1_quality_divergence,
+        op2_importance_resampling,
         op5_simhash_ball,
         op7_line_dedup,
         op10_best_fit_packing,
