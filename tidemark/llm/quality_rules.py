@@ -102,9 +102,12 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("__td_lines") - F.size(F.array_distinct("__td_lines"))).cast("long").alias("n_dup_lines"),
         F.when(
             n >= 3,
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(F.get("__td_w", i), F.get("__td_w", i + 1), F.get("__td_w", i + 2)),
+            let(
+                F.col("__td_w"),
+                lambda w: F.transform(
+                    F.sequence(F.lit(0), F.size(w) - 3),
+                    lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
+                ),
             ),
         )
         .otherwise(F.array().cast("array<long>"))
@@ -134,6 +137,8 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         repeated_words(F.col("__td_h")).cast("long").alias("n_repeat_words"),
         F.array(*[sizes[c].cast("long") for c in CLASSES]).alias("__td_classes"),
         F.array(*[x.cast("long") for x in bins]).alias("__td_common"),
+        # not deterministic: without it, filters would be pushed below and compute all of this twice
+        F.monotonically_increasing_id().alias("__td_barrier"),
     )
 
 
@@ -163,7 +168,7 @@ def references(counted: DataFrame, lang: str = "lang") -> list[tuple[str, int, l
     n = len(CLASSES), len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("__td_classes")[i]).alias(f"c{i}") for i in range(n[0])]
     sums += [F.sum(F.col("__td_common")[i]).alias(f"w{i}") for i in range(n[1])]
-    good = counted.where(F.col(lang).isNotNull() & ~base_failed())
+    good = counted.where(F.col(lang).isNotNull() & ~base_failed() & (F.col("__td_barrier") >= 0))
     by = good.groupBy(lang).agg(F.count("*").alias("n"), *sums)
     total = counted.count()
     found = []
@@ -177,9 +182,8 @@ def _least(columns: list[Column]) -> Column:
     return F.least(*columns) if len(columns) > 1 else columns[0]
 
 
-def judge(counted: DataFrame, lang: str = "lang") -> DataFrame:
+def judge(counted: DataFrame, refs: list, lang: str = "lang") -> DataFrame:
     """Adds ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``."""
-    refs = references(counted, lang)
     spark = counted.sparkSession
     if not refs:
         none = F.lit(None).cast("double")
@@ -223,7 +227,17 @@ def quality_rules(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
     """``docs`` without the text, with the counts, the distances and the verdict ``kept``."""
     own = [c for c in docs.columns if c != text and c not in OUTPUTS]
     counted = cut(counts(docs.select(*own, text), text), "quality-counts")
-    return judge(counted, lang).select(*own, *OUTPUTS)
+    return judge(counted, references(counted, lang), lang).select(*own, *OUTPUTS)
+
+
+def rules_filter(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, in all their columns. Texts are read twice rather than shuffled."""
+    keyed = F.col(lang).alias("__td_lang_of")
+    refs = references(counts(docs.select(keyed, F.col(text).alias("__td_of")), "__td_of"), "__td_lang_of")
+    rows = docs.select(F.struct(*docs.columns).alias("__td_row"), keyed, F.col(text).alias("__td_of"))
+    return judge(counts(rows, "__td_of"), refs, "__td_lang_of").where(
+        F.col("kept") & (F.col("__td_barrier") >= 0)
+    ).select("__td_row.*")
 
 
 def op1_quality_divergence(spark, sf_dir: str) -> DataFrame:
