@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.byte_bpe import op8_byte_bpe
 from tidemark.llm.common import ship
 from tidemark.llm.importance import op2_importance_resampling
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
         op2_importance_resampling,
         op5_simhash_ball,
         op7_line_dedup,
+        op8_byte_bpe,
         op10_best_fit_packing,
     )
 }
