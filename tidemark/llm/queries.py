@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_bpe import op8_byte_bpe
 from tidemark.llm.common import ship
+from tidemark.llm.imatch import op9_imatch
 from tidemark.llm.importance import op2_importance_resampling
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
         op5_simhash_ball,
         op7_line_dedup,
         op8_byte_bpe,
+        op9_imatch,
         op10_best_fit_packing,
     )
 }
