@@ -11,6 +11,7 @@ from tidemark.llm.byte_bpe import op8_byte_bpe
 from tidemark.llm.common import ship
 from tidemark.llm.imatch import op9_imatch
 from tidemark.llm.importance import op2_importance_resampling
+from tidemark.llm.kneser_ney import op3_kneser_ney
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
 from tidemark.llm.quality_rules import op1_quality_divergence
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_quality_divergence,
         op2_importance_resampling,
+        op3_kneser_ney,
         op5_simhash_ball,
         op7_line_dedup,
         op8_byte_bpe,
