@@ -16,6 +16,8 @@ from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
 from tidemark.llm.quality_rules import op1_quality_divergence
 from tidemark.llm.simhash import op5_simhash_ball
+from tidemark.llm.transcripts import op6_transcript_hmm
+from tidemark.llm.url_filter import op4_url_markov
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +37,9 @@ QUERIES: dict[str, Query] = {
         op1_quality_divergence,
         op2_importance_resampling,
         op3_kneser_ney,
+        op4_url_markov,
         op5_simhash_ball,
+        op6_transcript_hmm,
         op7_line_dedup,
         op8_byte_bpe,
         op9_imatch,
