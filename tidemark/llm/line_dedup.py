@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CHARS, ascii_lower, id_column
+from tidemark.llm.common import SPACE_CHARS, ascii_lower, cut, id_column
 
 
 def line_key(line: Column) -> Column:
@@ -63,8 +63,10 @@ def dropped_positions(docs: DataFrame, *, text: str = "text", min_chars: int = 1
             .agg(F.min("__td_id").alias("__td_first"), F.count("*").alias("__td_n"))
             .where(F.col("__td_n") >= min_docs)
         )
+    # written, so that the join's two sides are plain exchanges, of which adaptive execution can split a frequent line's
+    held = cut(held.select("__td_h1", "__td_h2", "__td_first"), "held-lines")
     return (
-        lines.join(held.select("__td_h1", "__td_h2", "__td_first"), ["__td_h1", "__td_h2"])
+        lines.join(held, ["__td_h1", "__td_h2"])
         .where("__td_id <> __td_first")
         .groupBy("__td_id", "__td_text")
         .agg(F.collect_set("__td_pos").alias("__td_drop"))
