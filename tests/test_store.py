@@ -1,0 +1,139 @@
+"""Replays, crashes at every step, versions, compaction, and the row-at-a-time model."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from ledger_tools import Model, Runner, payment
+
+from tidemark.streaming.checks import run_checks
+
+STEPS = ("staged late_events", "staged events", "staged merchant_windows", "before commit", "after commit")
+BATCHES = ([payment("a", 600), payment("b", 30)], [payment("c", 500), payment("d", 700), payment("e", 100)])
+
+
+class Crash(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_crash_at_every_step(spark, tmp_path, step):
+    armed = {"on": False}
+
+    def fault(name):
+        if armed["on"] and name == step:
+            raise Crash(name)
+
+    runner = Runner(spark, tmp_path / "ledger", fault)
+    runner.run(0, BATCHES[0])
+    armed["on"] = True
+    with pytest.raises(Crash):
+        runner.run(1, BATCHES[1])
+    armed["on"] = False
+    assert runner.ids("events") == ({"a", "b", "c", "d"} if step == "after commit" else {"a", "b"})
+    report = runner.run(1, BATCHES[1])
+    assert (report.rows_on_time, report.rows_late, report.rows_duplicate) == (2, 1, 0)
+    assert all(r.ok for r in run_checks(runner.store))
+    orphans = runner.store.vacuum()
+    assert bool(orphans) == (step != "after commit")
+    assert all(r.ok for r in run_checks(runner.store))
+
+
+def test_replay_changes_nothing(spark, tmp_path):
+    runner = Runner(spark, tmp_path / "ledger")
+    runner.run(0, BATCHES[0])
+    second = [payment("f", 500), payment("g", 100), payment("a", 600)]
+    report = runner.run(1, second, now=200_000)
+    before = {t: runner.rows(t) for t in ("events", "late_events", "merchant_windows", "stream_state")}
+    assert (report.rows_on_time, report.rows_late, report.rows_duplicate) == (1, 1, 1)
+    assert runner.run(1, second, now=200_055) == report
+    assert runner.run(0, BATCHES[0]).rows_in == 2
+    assert before == {t: runner.rows(t) for t in before}
+
+
+def test_versions_and_compaction(spark, tmp_path):
+    runner = Runner(spark, tmp_path / "ledger")
+    for i, s in enumerate((10, 200, 400, 30, 900)):
+        runner.run(i, [payment(f"t{i}", s)])
+    assert runner.store.table("events", version=1).count() == 2
+    assert {r["transaction_id"] for r in runner.store.table("events", batch=2).collect()} == {"t2"}
+    before = {t: runner.rows(t) for t in ("events", "late_events", "merchant_windows", "stream_state")}
+    runner.store.compact()
+    runner.store.compact()
+    assert before == {t: runner.rows(t) for t in before}
+    runner.run(5, [payment("t2", 400), payment("t9", 1000)])
+    assert runner.ids("events") == {"t0", "t1", "t2", "t4", "t9"} and all(r.ok for r in run_checks(runner.store))
+    runner.store.vacuum()
+    assert all(r.ok for r in run_checks(runner.store))
+
+
+def test_empty_ledger(spark, tmp_path):
+    runner = Runner(spark, tmp_path / "ledger")
+    assert all(runner.store.table(t).count() == 0 for t in ("events", "late_events", "merchant_windows", "stream_state"))
+    assert all(r.ok for r in run_checks(runner.store))
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_random_feed_equals_the_model(spark, tmp_path, seed):
+    dice = random.Random(seed)
+    rows = [payment(f"t{i}", dice.randrange(900), f"M{dice.randrange(3)}", f"{dice.randrange(100, 9999) / 100:.2f}") for i in range(50)]
+    rows += [list(dice.choice(rows)) for _ in range(6)]
+    dice.shuffle(rows)
+    runner, model = Runner(spark, tmp_path / "ledger"), Model()
+    for number, first in enumerate(range(0, len(rows), 14)):
+        batch = rows[first : first + 14]
+        report = runner.run(number, batch)
+        model.run(number, batch)
+        assert (report.rows_in, report.rows_on_time, report.rows_late, report.rows_duplicate) == model.state[-1]["counts"]
+        assert report.watermark == model.state[-1]["watermark"]
+        if dice.random() < 0.5:
+            assert runner.run(number, batch) == report
+    assert runner.ids("events") == set(model.events) and runner.ids("late_events") == set(model.late)
+    assert {k: (r["tx_count"], r["total_amount"]) for k, r in runner.windows().items()} == model.totals()
+    assert all(r.ok for r in run_checks(runner.store))
+
+
+@pytest.mark.parametrize("size", [7, 20])
+def test_batching_and_order_leave_totals_alone(spark, tmp_path, size):
+    dice = random.Random(3)
+    rows = [payment(f"t{i}", dice.randrange(100), f"M{i % 3}", f"{i}.25") for i in range(20)]
+    once, often = Runner(spark, tmp_path / "once"), Runner(spark, tmp_path / "often")
+    once.run(0, rows)
+    dice.shuffle(rows)
+    for number, first in enumerate(range(0, len(rows), size)):
+        often.run(number, rows[first : first + size])
+    plain = lambda r: {k: (w["tx_count"], w["total_amount"]) for k, w in r.windows().items()}
+    assert plain(once) == plain(often)
+
+
+def test_a_new_stream_goes_on_behind_the_ledger(spark, tmp_path):
+    runner = Runner(spark, tmp_path / "ledger")
+    store = runner.store
+    assert store.base("first") == 0
+    runner.run(0, BATCHES[0])
+    assert store.base("first") == 0 and store.base("second") == 1
+
+
+def test_damage_is_found(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import invariants
+
+    runner = Runner(spark, tmp_path / "ledger")
+    for i, s in enumerate((600, 100, 900)):
+        runner.run(i, [payment(f"t{i}", s), payment(f"u{i}", s + 5)])
+    good = runner.store.tables()
+    assert all(r["violations"] == 0 for r in invariants.all_checks(good).collect())
+    events, windows, state, late = (good[t] for t in ("events", "merchant_windows", "stream_state", "late_events"))
+    damage = {
+        invariants.ledger_matches_tables: {"events": events.limit(1)},
+        invariants.one_row_a_transaction: {"late_events": late.unionAll(late)},
+        invariants.windows_recounted: {"merchant_windows": windows.withColumn("tx_count", F.col("tx_count") + 1)},
+        invariants.late_has_evidence: {"late_events": late.withColumn("lateness_seconds", F.lit(0.0))},
+        invariants.watermark_monotonic: {"stream_state": state.withColumn("watermark_applied", F.lit(None).cast("timestamp"))},
+        invariants.final_windows_frozen: {"merchant_windows": windows.withColumn("is_final", F.lit(False))},
+        invariants.two_clocks: {"events": events.withColumn("processing_time", F.col("event_time"))},
+    }
+    for check, change in damage.items():
+        assert check(good | change).first()["violations"] > 0, check.__name__
