@@ -1,0 +1,36 @@
+"""The entry points, with and without the optional subpackage."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+REPO = Path(__file__).resolve().parents[1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_entry(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark)
+    assert rows.count() > 0 and "total_amount" in rows.columns
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_stands_without_the_subpackage(tmp_path):
+    shutil.copytree(REPO / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'ledger_events' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in (REPO / "tidemark").rglob("*.py"):
+        if "llm" not in path.relative_to(REPO).parts:
+            assert "llm" not in path.read_text(), path
