@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int
     raw[at], own[at] = rows.column("raw").to_numpy(), rows.column("own").to_numpy()
     p_raw = (raw + SMOOTHING * raw.sum() / max(raw.sum(), 1) / buckets) / (raw.sum() + SMOOTHING)
     p_own = (own + SMOOTHING * p_raw * buckets) / (own.sum() + SMOOTHING * buckets)
-    ratio = np.where(raw > 0, np.log(p_own) - np.log(p_raw), 0.0)
+    ratio = np.zeros(buckets)
+    seen = raw > 0
+    ratio[seen] = np.log(p_own[seen]) - np.log(p_raw[seen])
     few = docs.sparkSession.createDataFrame(pa.table({"__td_held": pa.array(held, pa.int64())}))
     # bounded: at most MAX_LABELLED ids
     checked = docs.join(F.broadcast(few), id_column(docs) == F.col("__td_held"), "left_semi")

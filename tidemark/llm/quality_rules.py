@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Each document has two histograms: of character classes and of common words. The references are the
-same histograms summed over all documents of a language that pass the base rules (in integers, so the sum doesn't
-depend on the order). A document is kept if it passes the base rules and the
+same histograms summed over all documents of a language that pass the base rules and aren't full of symbols or capitals (in
+integers, so the sum doesn't depend on the order). A document is kept if it passes the base rules and the
 Jensen-Shannon distance (base 2, 0 to 1) of each of its histograms to its language's reference is
 within its limit; a histogram of too short a text isn't judged.
 
@@ -45,6 +45,9 @@ MIN_WORDS_FOR_WORDS = 50
 #: A language has a reference from this share of all documents on.
 REFERENCE_SHARE = 0.001
 NEAREST = 16
+#: A document shapes its language's reference if it has so many lower-case letters for a symbol, and for a capital.
+REFERENCE_SYMBOLS = 50
+REFERENCE_CAPITALS = 4
 
 
 def _length_without(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -168,7 +171,10 @@ def references(counted: DataFrame, lang: str = "lang") -> list[tuple[str, int, l
     n = len(CLASSES), len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("__td_classes")[i]).alias(f"c{i}") for i in range(n[0])]
     sums += [F.sum(F.col("__td_common")[i]).alias(f"w{i}") for i in range(n[1])]
-    good = counted.where(F.col(lang).isNotNull() & ~base_failed() & (F.col("__td_barrier") >= 0))
+    size = {c: F.col("__td_classes")[i] for i, c in enumerate(CLASSES)}
+    # plainly odd texts don't shape a reference, however many they are
+    plain = (size["symbol"] * REFERENCE_SYMBOLS <= size["lower"]) & (size["upper"] * REFERENCE_CAPITALS <= size["lower"])
+    good = counted.where(F.col(lang).isNotNull() & ~base_failed() & plain & (F.col("__td_barrier") >= 0))
     by = good.groupBy(lang).agg(F.count("*").alias("n"), *sums)
     total = counted.count()
     found = []

@@ -37,6 +37,8 @@ NAMES = {
 CHUNK = 512
 MAX_TRAINING = 50_000
 SMOOTHING = 0.5
+#: Weight of the product of an observation's parts beside the observation itself.
+BACK_OFF = 0.5
 SEED = 6_000_011
 MARKERS, LENGTHS, LINES, FLAGS = 4, 6, 4, 4
 _FORMS = r"(?i)^\s*(?:<\|(?:im_start\|>)?|#{{1,4}}\s*|\[|\*\*|>\s*)?({names})(?:\|>|\]|\*\*:?|\s*:|\s*\n)[ \t]*\n?"
@@ -148,7 +150,8 @@ def fit(labelled: DataFrame, most: int = MAX_TRAINING) -> Hmm:
             move[before[1], k] += 1
         emit[k, seen] += 1
         before = (conv, k)
-    # emissions back off to the product of their parts, so that unseen combinations are still told apart
+    # emissions are mixed with the product of their parts, so that unseen combinations are still told apart, alike for
+    # frequent and rare roles
     parts = emit.reshape(n, MARKERS, LENGTHS, LINES, FLAGS)
     product_ = np.ones_like(parts)
     for axis in range(4):
@@ -158,7 +161,8 @@ def fit(labelled: DataFrame, most: int = MAX_TRAINING) -> Hmm:
         shape = [n, 1, 1, 1, 1]
         shape[axis + 1] = own.shape[1]
         product_ = product_ * own.reshape(shape)
-    emit = emit + 10 * product_.reshape(n, width)
+    seen = emit / np.maximum(emit.sum(axis=1, keepdims=True), 1)
+    emit = (1 - BACK_OFF) * seen + BACK_OFF * product_.reshape(n, width)
     start, move = start + SMOOTHING, move + SMOOTHING
     return Hmm(
         np.log(start / start.sum()),
