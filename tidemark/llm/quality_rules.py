@@ -249,4 +249,83 @@ def rules_filter(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
 def op1_quality_divergence(spark, sf_dir: str) -> DataFrame:
     """The counts and the verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", *OUTPUTS)
+    return quality_rules(docs).select("doc_id", *OUTPUTS[:7])
+
+
+def _sql() -> str:
+    """The same in SQL; where ids repeat or texts are long it is slow, but it says the same."""
+    strip = [r"[#*$%&|<>]", r"\p{Lu}+", r"\p{Nd}+", r"\p{P}+"]
+    rests = ["rest"]
+    for pattern in strip:
+        rests.append(f"regexp_replace({rests[-1]}, '{pattern}', '', 'g')")
+    taken = [f"length({a}) - length({b})" for a, b in zip(rests, rests[1:])]
+    symbol, upper, digit, punctuation = taken
+    common = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
+    share = "list_transform({h}, lambda x: CASE WHEN list_sum({h}) > 0 THEN x::DOUBLE / list_sum({h}) ELSE 0.0 END)"
+
+    def distance(p: str, q: str) -> str:
+        middle = f"(({p}[i] + {q}[i]) / 2)"
+        part = lambda x: f"(CASE WHEN {x}[i] > 0 THEN {x}[i] * log2({x}[i] / {middle}) ELSE 0.0 END)"
+        return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(p)} + {part(q)})) / 2))"
+
+    return rf"""
+WITH base AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines,
+         regexp_replace(coalesce(text, ''), '[\p{{Ll}} \t-\r]+', '', 'g') AS rest
+  FROM documents
+), placed AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM base)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM placed) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id
+), counted AS (
+  SELECT b.doc_id, b.lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {symbol} AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(t) AS chars,
+         [length(array_to_string(ws, '')) - length(rest), {upper}, {digit}, {symbol}, {punctuation}, length({rests[-1]}),
+          length(t) - length(array_to_string(ws, ''))] AS classes,
+         list_transform({common}, lambda w: len(list_filter(ws, lambda x: lower(x) = w))) AS common
+  FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id
+), judged AS (
+  SELECT * EXCLUDE (common), list_append(common, n_words - list_sum(common)::BIGINT) AS common,
+         n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM counted
+), plain AS (
+  SELECT lang, doc_id, classes, common FROM judged
+  WHERE lang IS NOT NULL AND NOT base_failed AND classes[4] * {REFERENCE_SYMBOLS} <= classes[1]
+    AND classes[2] * {REFERENCE_CAPITALS} <= classes[1]
+), sizes AS (
+  SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS place FROM (SELECT lang, count(*) AS n FROM plain GROUP BY lang)
+  WHERE n >= greatest(1.0, {REFERENCE_SHARE} * (SELECT count(*) FROM documents))
+), class_sums AS (
+  SELECT lang, list(v ORDER BY i) AS h FROM (
+    SELECT lang, i, sum(v) AS v FROM (SELECT lang, unnest(range(1, len(classes) + 1)) AS i, unnest(classes) AS v FROM plain) GROUP BY lang, i)
+  GROUP BY lang
+), word_sums AS (
+  SELECT lang, list(v ORDER BY i) AS h FROM (
+    SELECT lang, i, sum(v) AS v FROM (SELECT lang, unnest(range(1, len(common) + 1)) AS i, unnest(common) AS v FROM plain) GROUP BY lang, i)
+  GROUP BY lang
+), refs AS (
+  SELECT s.lang, s.place, {share.format(h="c.h")} AS rc, {share.format(h="w.h")} AS rw
+  FROM sizes s JOIN class_sums c ON s.lang = c.lang JOIN word_sums w ON s.lang = w.lang
+), shares AS (
+  SELECT doc_id, lang, {share.format(h="classes")} AS pc, {share.format(h="common")} AS pw FROM judged
+), far AS (
+  SELECT d.doc_id, min({distance("pc", "rc")}) AS class_distance, min({distance("pw", "rw")}) AS word_distance
+  FROM shares d JOIN refs r
+    ON r.lang = d.lang OR (r.place <= {NEAREST} AND (d.lang IS NULL OR d.lang NOT IN (SELECT lang FROM refs)))
+  GROUP BY d.doc_id
+)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+       NOT j.base_failed AND NOT coalesce(
+         (j.chars >= {MIN_CHARS_FOR_CLASSES} AND class_distance > {MAX_CLASS_DISTANCE})
+         OR (j.n_words >= {MIN_WORDS_FOR_WORDS} AND word_distance * word_distance
+             > {MAX_WORD_DISTANCE_SQUARED} + {WORD_NOISE} / greatest(j.n_words, 1)), false) AS kept
+FROM judged j LEFT JOIN far ON j.doc_id = far.doc_id
+"""
+
+
+OP1_SQL = _sql()

@@ -14,7 +14,7 @@ from tidemark.llm.importance import op2_importance_resampling
 from tidemark.llm.kneser_ney import op3_kneser_ney
 from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.packing import op10_best_fit_packing
-from tidemark.llm.quality_rules import op1_quality_divergence
+from tidemark.llm.quality_rules import OP1_SQL, op1_quality_divergence
 from tidemark.llm.simhash import op5_simhash_ball
 from tidemark.llm.transcripts import op6_transcript_hmm
 from tidemark.llm.url_filter import op4_url_markov
@@ -48,5 +48,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_divergence": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
 }
