@@ -253,12 +253,15 @@ def stream_file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that the session names; one of our own only where it names none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and "://" not in shared.removeprefix("file://"):
-        folder = shared.removeprefix("file://").removeprefix("file:")
-        os.makedirs(folder, exist_ok=True)
-        return tempfile.mkdtemp(prefix="ledger-", dir=folder)
-    return tempfile.mkdtemp(prefix="ledger-")
+    if not shared:
+        return tempfile.mkdtemp(prefix="ledger-")
+    folder = shared.removeprefix("file://") if shared.startswith("file://") else shared.removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"the replay writes its arrivals as plain files: spark.checkpoint.dir must be a mounted folder, not {shared}")
+    os.makedirs(folder, exist_ok=True)
+    return tempfile.mkdtemp(prefix="ledger-", dir=folder)
 
 
 # --- reads ---

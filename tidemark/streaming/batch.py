@@ -65,7 +65,7 @@ def process_batch(
     stamp = to_micros(now or datetime.now(timezone.utc))
 
     kept = rows.persist()
-    fresh = None
+    held = [kept]
     try:
         seen = kept.agg(
             F.count("*").alias("n"),
@@ -81,9 +81,11 @@ def process_batch(
         log = store.log(number - 1)
         history = {t: store.read(store.folders(t, log), t) for t in ("events", "late_events")}
         stamped = enrich(kept, settings.window_seconds, instant(stamp), F.lit(number))
-        judged = first_arrival(stamped, ARRIVAL).withColumn("late", is_late(instant(applied)))
+        judged = first_arrival(stamped, ARRIVAL).withColumn("late", is_late(instant(applied))).persist()
+        held.append(judged)
         known = history["events"].select("transaction_id").unionAll(history["late_events"].select("transaction_id"))
         fresh = unseen(judged, known).persist()
+        held.append(fresh)
         counts = fresh.agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late")).first()
 
         folders = {}
@@ -99,9 +101,8 @@ def process_batch(
         if changes is not None:
             folders["merchant_windows"] = store.stage("merchant_windows", changes, number)
     finally:
-        kept.unpersist()
-        if fresh is not None:
-            fresh.unpersist()
+        for frame in held:
+            frame.unpersist()
 
     report = BatchReport(
         number, from_micros(applied), from_micros(newest), from_micros(watermark), seen["n"], counts["on_time"], counts["late"],
@@ -125,18 +126,16 @@ def _window_changes(store, log, folders, old_events, judged, applied, watermark,
         events = events.where(F.col("window_end") > instant(applied))
     if "events" in folders:
         events = events.unionByName(store.read([f"{store.root}/{folders['events']}"], "events"))
-    fresh = refreshed(events, own)
-    was = current.select(*KEY, F.col("is_final").alias("was_final"))
+    # one join of the windows as they stand with those written: what is written, and what the watermark closes besides
+    fresh = refreshed(events, own).select(*KEY, F.col("tx_count").alias("n"), F.col("total_amount").alias("total"))
     passed = F.col("window_end") <= instant(watermark)
-    written = fresh.join(was, KEY, "left").withColumn("is_final", F.coalesce("was_final", F.lit(False)) | passed)
-    closed = (
-        current.where(~F.col("is_final") & passed)
-        .join(own, KEY, "left_anti")
-        .withColumn("is_final", F.lit(True))
-    )
-    columns = [*KEY, "tx_count", "total_amount", "is_final"]
-    return (
-        written.select(*columns)
-        .unionByName(closed.select(*columns))
-        .withColumns({"updated_batch_id": F.lit(number).cast("long"), "updated_at": instant(stamp)})
+    was_final = F.coalesce("is_final", F.lit(False))
+    met = current.join(fresh, KEY, "full").where(F.col("n").isNotNull() | (~was_final & passed))
+    return met.select(
+        *KEY,
+        F.coalesce("n", "tx_count").alias("tx_count"),
+        F.when(F.col("n").isNotNull(), F.col("total")).otherwise(F.col("total_amount")).alias("total_amount"),
+        (was_final | passed).alias("is_final"),
+        F.lit(number).cast("long").alias("updated_batch_id"),
+        instant(stamp).alias("updated_at"),
     )
