@@ -1,0 +1,254 @@
+"""Near-duplicates by the Jaccard similarity of shingle sets: MinHash bands find groups, exact similarity links inside them.
+
+Each distinct word sequence is a node, so copies cost one row. A node has ``BANDS`` keys of ``ROWS`` minima each; two nodes of
+similarity s share a key with probability ``1 - (1 - s**ROWS)**BANDS``: 0.99999 at 0.8, 0.31 at 0.5, 0.01 at 0.3. Keys are
+shuffled in packed blocks, a block sends on a spanning forest of what shares a key, and the components of those links
+are candidate groups: whatever shares a key is in one group. Shingle sets are then made again for the grouped nodes
+only, each goes to its group once, and there every link of similarity ``SIMILARITY`` or more that joins two
+components is found exactly, by the prefix filter; no pairs are listed.
+
+A candidate group is judged in one task, with about 8 bytes a shingle of its nodes.
+
+Defined results: wordless and null texts are one node, of no similarity to others; a text of fewer words than a shingle
+is one shingle; rows that repeat an id are judged each by its own text; a null id is smaller than any other.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import cut, id_column
+from tidemark.llm.components import components, forest
+from tidemark.llm.simhash import shard_of
+from tidemark.llm.texthash import hash_words, mix, slices, words
+
+#: The least similarity of a link, as a fraction.
+SIMILARITY = (4, 5)
+ROWS, BANDS = 7, 48
+SHINGLE = 5
+SEED = 42
+#: Keys that one shuffled block group holds, about.
+BLOCK = 3_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_dice = np.random.default_rng(SEED)
+_A = _dice.integers(0, 1 << 31, ROWS * BANDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _dice.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+
+
+def shingles(texts: pa.Array, shingle: int = SHINGLE):
+    """(nodes, hash of every shingle, shingles of each document) for each slice of the column, in order."""
+    for raw, off in slices(texts):
+        starts, ends, per_doc = words(raw, off)
+        hashes = hash_words(raw, starts, ends)
+        n_sh = np.where(per_doc > 0, np.maximum(per_doc - shingle + 1, 1), 0)
+        word0 = np.cumsum(per_doc) - per_doc
+        first = np.cumsum(n_sh) - n_sh
+        begin = np.repeat(word0 - first, n_sh) + np.arange(int(n_sh.sum()))
+        width = np.repeat(np.minimum(per_doc, shingle), n_sh)
+        value = width.astype(np.uint64)
+        for j in range(shingle):
+            word = hashes[np.minimum(begin + j, len(hashes) - 1)] if len(hashes) else hashes
+            value = value * _ODD + np.where(j < width, word, np.uint64(0))
+        node = np.zeros(len(per_doc), np.uint64)
+        some = per_doc > 0
+        if some.any():
+            place = (np.arange(len(hashes)) - np.repeat(word0, per_doc)).astype(np.uint64)
+            node[some] = mix(np.add.reduceat(mix(hashes + mix(place * _ODD + np.uint64(1))), word0[some]))
+        yield node, mix(value), n_sh
+
+
+def band_keys(hashes: np.ndarray, n_sh: np.ndarray) -> np.ndarray:
+    """The keys of each document that has shingles, a row each."""
+    some = n_sh > 0
+    first = (np.cumsum(n_sh) - n_sh)[some]
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    keys = np.zeros((int(some.sum()), BANDS), np.uint64)
+    if not len(keys):
+        return keys
+    for at in range(ROWS * BANDS):
+        least = np.minimum.reduceat(short * _A[at] + _B[at], first)
+        keys[:, at // ROWS] = mix(keys[:, at // ROWS] * _ODD + least + np.uint64(at))
+    return keys
+
+
+def _sketch(shingle: int):
+    def of(batches):
+        for batch in batches:
+            at = 0
+            for node, hashes, n_sh in shingles(batch.column(1), shingle):
+                blobs = np.full(len(node), None, object)
+                blobs[n_sh > 0] = [k.tobytes() for k in band_keys(hashes, n_sh)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(node)), pa.array(node.view(np.int64)), pa.array(blobs, pa.binary())],
+                    names=["id", "node", "keys"],
+                )
+                at += len(node)
+
+    return of
+
+
+def _emit(shards: int):
+    """Keys of every node, packed by shard."""
+
+    def of(batches):
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            blobs = batch.column(1).to_pylist()
+            for at in range(0, len(nodes), 16384):
+                key = np.frombuffer(b"".join(blobs[at : at + 16384]), np.uint64)
+                node = np.repeat(nodes[at : at + 16384], BANDS)
+                shard = shard_of(key, shards)
+                order = np.argsort(shard, kind="stable")
+                key, node = key[order], node[order]
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+                rows = [(s, key[a:b].tobytes() + node[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                    names=["shard", "block"],
+                )
+
+    return of
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Nodes that share a key, as a spanning forest."""
+    keys, nodes = [], []
+    for block in table.column("block").to_pylist():
+        n = len(block) // 16
+        keys.append(np.frombuffer(block, np.uint64, n))
+        nodes.append(np.frombuffer(block, np.int64, n, n * 8))
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    found, root = forest(node[1:][same], node[:-1][same])
+    return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array(root, pa.int64())})
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def linked(flat: np.ndarray, off: np.ndarray, least: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The component of each set (its first member), links being similarities of ``least`` or more; no set is empty.
+
+    ``flat``: the sets' distinct elements, one set after the other; ``off``: where each starts, and the end.
+    """
+    up, down = least
+    n, size = len(off) - 1, np.diff(off)
+    _, code = np.unique(flat, return_inverse=True)
+    # rare elements first: two similar sets share one of the first few
+    often = np.bincount(code)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    rank = rank[code]
+    owner = np.repeat(np.arange(n), size)
+    rank = rank[np.lexsort((rank, owner))]
+    prefix = size - -(-up * size // down) + 1
+    root = np.full(n, -1)
+    mark = np.zeros(len(often), bool)
+
+    def index(sets: np.ndarray):
+        who = np.repeat(sets, prefix[sets])
+        element = rank[_ragged(off[sets], prefix[sets])]
+        order = np.argsort(element, kind="stable")
+        return who[order], np.searchsorted(element[order], np.arange(len(often) + 1))
+
+    free = indexed = n
+    who, at = index(np.arange(n))
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], todo = seed, [seed]
+        free -= 1
+        while todo and free:
+            x = todo.pop()
+            if free * 2 < indexed:
+                who, at = index(np.flatnonzero(root < 0))
+                indexed = free
+            head = rank[off[x] : off[x] + prefix[x]]
+            near = who[_ragged(at[head], at[head + 1] - at[head])]
+            near = np.unique(near[root[near] < 0])
+            near = near[(size[near] * down >= size[x] * up) & (size[x] * down >= size[near] * up)]
+            if not len(near):
+                continue
+            mark[rank[off[x] : off[x + 1]]] = True
+            hit = mark[rank[_ragged(off[near], size[near])]]
+            common = np.add.reduceat(hit, np.cumsum(size[near]) - size[near], dtype=np.int64)
+            mark[rank[off[x] : off[x + 1]]] = False
+            near = near[common * down >= (size[x] + size[near] - common) * up]
+            root[near] = seed
+            free -= len(near)
+            todo += near.tolist()
+    return root
+
+
+def _sets(shingle: int):
+    """``node, shingles``: the distinct shingles of every text that has any."""
+
+    def of(batches):
+        for batch in batches:
+            for node, hashes, n_sh in shingles(batch.column(1), shingle):
+                cuts = np.cumsum(n_sh) - n_sh
+                some = np.flatnonzero(n_sh).tolist()
+                blobs = [np.unique(hashes[cuts[i] : cuts[i] + n_sh[i]]).tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[n_sh > 0].view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "shingles"]
+                )
+
+    return of
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """The links of one candidate group, as stars around each component's first node."""
+    node, place = np.unique(table.column("node").to_numpy(), return_index=True)
+    blobs = table.column("shingles").take(pa.array(place)).to_pylist()
+    off = np.concatenate(([0], np.cumsum([len(b) // 8 for b in blobs])))
+    root = linked(np.frombuffer(b"".join(blobs), np.uint64), off)
+    moved = root != np.arange(len(root))
+    return pa.table({"node": pa.array(node[moved]), "root": pa.array(node[root[moved]])})
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``id, node, component`` for every row: the component is the smallest id that links of ``SIMILARITY`` reach."""
+    rows = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("text"))
+    sketched = cut(rows.mapInArrow(_sketch(shingle), "id long, node long, keys binary"), "sketches")
+    nodes = cut(sketched.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.where("keys is not null").select("node", "keys")
+    shards = max(1, math.ceil(keyed.count() * BANDS / BLOCK))
+    blocks = keyed.mapInArrow(_emit(shards), "shard int, block binary")
+    groups = components(blocks.groupBy("shard").applyInArrow(_meet, "a long, b long"))
+    group = groups.select("node", F.col("root").alias("group")).union(
+        groups.select("root", F.col("root").alias("group")).distinct()
+    )
+    wanted = cut(group.join(nodes.select("node", "first"), "node"), "wanted")
+    texts = rows.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    sets = texts.mapInArrow(_sets(shingle), "node long, shingles binary").join(wanted.select("node", "group"), "node")
+    stars = cut(sets.groupBy("group").applyInArrow(_judge, "node long, root long"), "stars")
+    rooted = nodes.select("node", "first").join(stars, "node", "left").select(
+        "node", "first", F.coalesce("root", "node").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    classes = rooted.join(least, "root").select("node", "component")
+    return sketched.select("id", "node").join(classes, "node").select("id", "node", "component")
+
+
+def keep_first(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """The documents of which no smaller ``doc_id`` is a near-duplicate; all columns stay as they are.
+
+    Rows that repeat the id of a kept document are that document and stay.
+    """
+    gone = (
+        near_duplicates(docs, shingle=shingle)
+        .groupBy("id")
+        .agg(F.min("component").alias("least"))
+        .where("least < id")
+        .select(F.col("id").alias("__td_gone"))
+    )
+    return docs.join(gone, id_column(docs) == F.col("__td_gone"), "left_anti")
