@@ -98,3 +98,23 @@ def test_junk_goes_and_prose_stays(spark):
 def test_rules_edges(spark):
     assert Q.quality_rules(frame(spark, [])).count() == 0 and Q.rules_filter(frame(spark, [])).count() == 0
     assert LONG and Q.rules_filter(frame(spark, ODD)).count() <= len(ODD)
+
+
+def test_rare_languages(spark):
+    """A language of few of the documents has its own reference; one of too little text isn't judged."""
+    import random
+
+    dice = random.Random(2)
+    english = ["the", "of", "and", "to", "in"] * 8 + [f"w{chr(97 + i)}{chr(97 + j)}er" for i in range(10) for j in range(10)]
+    other = [f"k{chr(97 + i)}{chr(97 + j)}a" for i in range(15) for j in range(15)]
+    prose = lambda words_, n: " ".join(dice.choice(words_) for _ in range(n))
+    rows = [(i, prose(english, 60), "en", "s", 0) for i in range(12_000)]
+    rows += [(20_000 + i, prose(other, 200), "rare", "s", 0) for i in range(11)] + [(30_000, prose(other, 200), "lone", "s", 0)]
+    rows += [(40_000, prose(english, 200).upper() + " ###" * 60, "rare", "s", 0)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in Q.quality_rules(docs).where("doc_id >= 20000").collect()}
+    assert all(got[20_000 + i]["kept"] and got[20_000 + i]["word_distance"] is not None for i in range(11))
+    assert got[30_000]["kept"] and got[30_000]["word_distance"] is None
+    assert not got[40_000]["kept"] and not got[40_000]["base_failed"]
+    kept = {r["doc_id"] for r in Q.rules_filter(docs).where("doc_id >= 20000").collect()}
+    assert kept == {20_000 + i for i in range(11)} | {30_000}

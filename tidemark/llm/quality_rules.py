@@ -7,11 +7,11 @@ Jensen-Shannon distance (base 2, 0 to 1) of each of its histograms to its langua
 within its limit; a histogram of too short a text isn't judged.
 
 One pass over the texts makes a narrow table of counts (a few hundred bytes a document); everything after that
-reads the table. Only the references leave the executors: a language needs a thousandth of all
-documents to have one, so there are a thousand at most.
+reads the table. Every language has a reference, however rare, unless its documents make fewer than
+``REFERENCE_WORDS`` words; the references stand in a table that the counts are joined with by language.
 
-Defined results: a null text has no words and fails the base rules; a null or rare language is judged
-by the nearest of the 16 largest references; without any reference the base rules decide; rows that
+Defined results: a null text has no words and fails the base rules; in a language without a reference the
+distances are null and the base rules decide; a null language is judged by the nearest of the 16 largest references; rows that
 repeat an id are judged each for itself; columns named like the outputs are replaced.
 """
 
@@ -42,7 +42,9 @@ MAX_WORD_DISTANCE_SQUARED = 0.03
 WORD_NOISE = 4.0
 MIN_CHARS_FOR_CLASSES = 300
 MIN_WORDS_FOR_WORDS = 50
-#: A language has a reference from this share of all documents on.
+#: A language has a reference from so many words on: its own noise is then a tenth of the limit of the words at most.
+REFERENCE_WORDS = 10 * WORD_NOISE / MAX_WORD_DISTANCE_SQUARED
+#: The SQL still gives a language a reference from this share of all documents on.
 REFERENCE_SHARE = 0.001
 NEAREST = 16
 #: A document shapes its language's reference if it has so many lower-case letters for a symbol, and for a capital.
@@ -166,8 +168,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def references(counted: DataFrame, lang: str = "lang") -> list[tuple[str, int, list[float], list[float]]]:
-    """(language, documents, class shares, word shares), largest first; a thousand at most."""
+def references(counted: DataFrame, lang: str = "lang") -> DataFrame:
+    """``__td_lang, __td_n, __td_rc, __td_rw``: documents, class shares and word shares of every language with enough text."""
     n = len(CLASSES), len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("__td_classes")[i]).alias(f"c{i}") for i in range(n[0])]
     sums += [F.sum(F.col("__td_common")[i]).alias(f"w{i}") for i in range(n[1])]
@@ -175,44 +177,34 @@ def references(counted: DataFrame, lang: str = "lang") -> list[tuple[str, int, l
     # plainly odd texts don't shape a reference, however many they are
     plain = (size["symbol"] * REFERENCE_SYMBOLS <= size["lower"]) & (size["upper"] * REFERENCE_CAPITALS <= size["lower"])
     good = counted.where(F.col(lang).isNotNull() & ~base_failed() & plain & (F.col("__td_barrier") >= 0))
-    by = good.groupBy(lang).agg(F.count("*").alias("n"), *sums)
-    total = counted.count()
-    found = []
-    for row in by.where(F.col("n") >= F.lit(max(1.0, REFERENCE_SHARE * total))).collect():
-        c, w = [row[f"c{i}"] for i in range(n[0])], [row[f"w{i}"] for i in range(n[1])]
-        found.append((row[lang], row["n"], [x / sum(c) for x in c], [x / sum(w) for x in w]))
-    return sorted(found, key=lambda r: (-r[1], r[0]))
+    by = good.groupBy(F.col(lang).alias("__td_lang")).agg(F.count("*").alias("__td_n"), *sums)
+    c, w = F.array(*[f"c{i}" for i in range(n[0])]), F.array(*[f"w{i}" for i in range(n[1])])
+    enough = F.aggregate(w, F.lit(0).cast("long"), lambda a, b: a + b) >= F.lit(REFERENCE_WORDS)
+    found = by.where(enough).select("__td_lang", "__td_n", _shares(c).alias("__td_rc"), _shares(w).alias("__td_rw"))
+    return cut(found, "quality-references")
 
 
 def _least(columns: list[Column]) -> Column:
     return F.least(*columns) if len(columns) > 1 else columns[0]
 
 
-def judge(counted: DataFrame, refs: list, lang: str = "lang") -> DataFrame:
+def judge(counted: DataFrame, refs: DataFrame, lang: str = "lang") -> DataFrame:
     """Adds ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``."""
-    spark = counted.sparkSession
-    if not refs:
-        none = F.lit(None).cast("double")
-        with_distance = counted.withColumns({"class_distance": none, "word_distance": none})
-    else:
-        table = spark.createDataFrame(
-            [(r[0], r[2], r[3]) for r in refs], "__td_lang string, __td_rc array<double>, __td_rw array<double>"
-        )
-        array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-        near = refs[:NEAREST]
-        other = [
-            _least([js_distance(F.col(h), array(r[k])) for r in near])
-            for h, k in (("__td_classes", 2), ("__td_common", 3))
-        ]
-        # bounded: a thousand references at most
-        joined = counted.join(F.broadcast(table), F.col(lang) == F.col("__td_lang"), "left")
-        own = F.col("__td_rc").isNotNull()
-        with_distance = joined.withColumns(
-            {
-                "class_distance": F.when(own, js_distance(F.col("__td_classes"), F.col("__td_rc"))).otherwise(other[0]),
-                "word_distance": F.when(own, js_distance(F.col("__td_common"), F.col("__td_rw"))).otherwise(other[1]),
-            }
-        ).drop("__td_lang", "__td_rc", "__td_rw")
+    near = refs.orderBy(F.desc("__td_n"), "__td_lang").limit(NEAREST).collect()
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    nearest = [
+        _least([js_distance(F.col(h), array(r[k])) for r in near]) if near else F.lit(None).cast("double")
+        for h, k in (("__td_classes", "__td_rc"), ("__td_common", "__td_rw"))
+    ]
+    with_distance = counted.join(refs, F.col(lang) == F.col("__td_lang"), "left").withColumns(
+        {
+            name: F.when(F.col(lang).isNull(), other).when(F.col(r).isNotNull(), js_distance(F.col(h), F.col(r)))
+            for name, h, r, other in (
+                ("class_distance", "__td_classes", "__td_rc", nearest[0]),
+                ("word_distance", "__td_common", "__td_rw", nearest[1]),
+            )
+        }
+    ).drop("__td_lang", "__td_n", "__td_rc", "__td_rw")
     chars = reduce(lambda a, b: a + b, [F.col("__td_classes")[i] for i in range(len(CLASSES))])
     far = (chars >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     limit = F.lit(MAX_WORD_DISTANCE_SQUARED) + F.lit(WORD_NOISE) / F.greatest(F.col("n_words"), F.lit(1))
