@@ -307,3 +307,17 @@ def test_transcript_edges(spark):
     assert [r["rendered"] for r in got if r["text"] == "### Human\nwhat?"] == ["<|user|>\nwhat?\n<|end|>"]
     assert H.parse_transcripts(spark.createDataFrame([], schema), hmm).count() == 0
     assert H.learn(H.as_transcripts(talk(spark, 1).limit(0))).emit.shape[0] == 3
+
+
+def test_hot_url_does_not_fill_the_sample(spark):
+    """A URL that is held out and leads by its hash, in more rows than the sample holds."""
+    texts = [f"a.org/good/{i}" for i in range(60)]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", F.xxhash64("text", F.lit(U.SEED)))
+    hot = hashed.where("h % 5 = 0").orderBy("h").first()
+    after = [r["text"] for r in hashed.where(F.col("h") > hot["h"]).collect()]
+    assert len(after) > 5
+    rows = [("allow", hot["text"])] * 200 + [("allow", t) for t in after] + [("block", f"b.net/xyz?{i}") for i in range(60)]
+    model = U.fit(spark.createDataFrame(rows, "label string, text string"), most=100)
+    assert model is not None and model.score("a.org/good/7") > model.score("b.net/xyz?7")
+    lone = U.fit(spark.createDataFrame(rows[:200] + rows[-60:], "label string, text string"))
+    assert lone is not None and lone.score("a.org/good/7") > lone.score("b.net/xyz?7")

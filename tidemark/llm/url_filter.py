@@ -5,9 +5,10 @@ URLs that rules accept and reject train one model each: variable-order Markov mo
 characters, interpolated by Witten and Bell's rule down to a uniform distribution. A URL that no rule fits is
 judged by the difference of its log-likelihoods per character against a threshold calibrated on held-out URLs.
 
-The models are fitted on a bounded sample of labelled rows: ``MAX_TRAINING`` URLs of each class with the smallest hashes, a fifth of
-them held out for the threshold. Their n-grams are counted in Spark; counts and model are of bounded size. Every
-row is judged in place: no shuffle, and a frequent host costs what its rows cost.
+The models are fitted on a bounded sample of labelled URLs: the ``MAX_TRAINING`` distinct ones of each class with the smallest
+hashes, each weighing as many as its rows, a fifth of them held out for the threshold (none, if a class has no others).
+Their n-grams are counted in Spark; counts and model are of bounded size. Labelled URLs are aggregated once; every
+row is judged in place, and a frequent host costs what its rows cost.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; then the empty text is judged; if either class
 has no URLs to train on, what no rule fits is allowed; rows are judged each by itself; columns named like the outputs are replaced.
@@ -102,33 +103,36 @@ class RatioModel:
 
 
 def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``label, context, char, n`` of a ``label, text`` table."""
+    """``label, context, char, n`` of a ``label, text`` table, whose rows count ``weight`` times if it has that column."""
     padded = F.concat(F.lit(START * order), "text", F.lit(STOP))
+    weight = F.col("weight") if "weight" in texts.columns else F.lit(1).cast("long").alias("weight")
     return (
-        texts.select("label", padded.alias("p"))
-        .select("label", "p", F.explode(F.sequence(F.lit(order), F.char_length("p") - 1)).alias("at"))
-        .select("label", "p", "at", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("size"))
+        texts.select("label", weight, padded.alias("p"))
+        .select("label", "weight", "p", F.explode(F.sequence(F.lit(order), F.char_length("p") - 1)).alias("at"))
+        .select("label", "weight", "p", "at", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("size"))
         .select(
             "label",
+            "weight",
             F.substring("p", F.col("at") - F.col("size") + 1, F.col("size")).alias("context"),
             F.substring("p", F.col("at") + 1, F.lit(1)).alias("char"),
         )
         .groupBy("label", "context", "char")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("weight").alias("n"))
     )
 
 
-def calibrate(model: RatioModel, accepted: list[str], rejected: list[str]) -> float:
-    """The threshold with the best balanced accuracy, in the middle between the scores it separates."""
+def calibrate(model: RatioModel, accepted: dict[str, int], rejected: dict[str, int]) -> float:
+    """The threshold with the best balanced accuracy, in the middle between the scores it separates; texts have weights."""
     if not accepted or not rejected:
         return 0.0
-    scores = np.array([model.score(t) for t in accepted + rejected])
+    scores = np.array([model.score(t) for t in [*accepted, *rejected]])
+    weight = np.array([*accepted.values(), *rejected.values()], np.int64)
     good = np.arange(len(scores)) < len(accepted)
     order = np.argsort(scores, kind="stable")
-    scores, good = scores[order], good[order]
+    scores, good, bad = scores[order], (weight * good)[order], (weight * ~good)[order]
     # threshold below the k-th score: those from k on are allowed
     hits = 1 - np.concatenate(([0], np.cumsum(good))) / good.sum()
-    misses = np.concatenate(([0], np.cumsum(~good))) / (~good).sum()
+    misses = np.concatenate(([0], np.cumsum(bad))) / bad.sum()
     same = np.concatenate(([False], scores[1:] == scores[:-1], [False]))
     best = int(np.argmax(np.where(same, -1.0, hits + misses)))
     if best == 0:
@@ -141,15 +145,19 @@ def calibrate(model: RatioModel, accepted: list[str], rejected: list[str]) -> fl
 def fit(labelled: DataFrame, *, order: int = ORDER, most: int = MAX_TRAINING) -> RatioModel | None:
     """A model from ``label`` (allow, block) and ``text``; None if a class is missing."""
     spark = labelled.sparkSession
-    rows = []
+    distinct = labelled.groupBy("label", "text").agg(F.count("*").alias("weight"))
+    train, held = [], {}
     for label in ("allow", "block"):
-        one = labelled.where(F.col("label") == label).select("label", "text", F.xxhash64("text", F.lit(SEED)).alias("h"))
-        rows += one.orderBy("h", "text").limit(most).collect()
-    train = [(r["label"], r["text"]) for r in rows if r["h"] % 5]
-    held = {label: [r["text"] for r in rows if r["h"] % 5 == 0 and r["label"] == label] for label in ("allow", "block")}
-    if {label for label, _ in train} != {"allow", "block"}:
+        one = distinct.where(F.col("label") == label).withColumn("h", F.xxhash64("text", F.lit(SEED)))
+        rows = one.orderBy("h", "text").limit(most).collect()
+        held[label] = {r["text"]: r["weight"] for r in rows if r["h"] % 5 == 0}
+        own = [(label, r["text"], r["weight"]) for r in rows if r["h"] % 5]
+        if not own:
+            own, held[label] = [(label, t, w) for t, w in held[label].items()], {}
+        train += own
+    if {label for label, *_ in train} != {"allow", "block"}:
         return None
-    sample = spark.createDataFrame(train, "label string, text string")
+    sample = spark.createDataFrame(train, "label string, text string, weight long")
     counts: dict[str, dict[str, dict[str, int]]] = {"allow": {}, "block": {}}
     for row in ngram_counts(sample, order).toArrow().to_pylist():
         counts[row["label"]].setdefault(row["context"], {})[row["char"]] = row["n"]
