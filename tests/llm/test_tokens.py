@@ -189,3 +189,11 @@ def test_partitions_exchange(spark):
     whole = len(P.best_fit_decreasing(np.array(sizes))[2])
     n = check_packed(got, P.CAPACITY)
     assert n <= check_packed(alone.collect(), P.CAPACITY) and P.lower_bound(np.array(sizes)) <= n <= whole * 1.06
+
+
+def test_exchange_goes_on_while_it_gains(spark):
+    dice = random.Random(12)
+    sizes = [dice.randint(200, 1100) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, 0, 0, n, i * 7) for i, n in enumerate(sizes)], P.PIECES)
+    six = check_packed(P.pack(rows, part=8, rounds=6).collect(), P.CAPACITY)
+    assert P.lower_bound(np.array(sizes)) <= check_packed(P.pack(rows, part=8).collect(), P.CAPACITY) < six

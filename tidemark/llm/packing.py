@@ -4,8 +4,8 @@ Documents become ids of a public vocabulary and one separator; only those over t
 behind a first piece that may be shorter. Pieces are dealt evenly over partitions by a hash, each partition packs its own by
 best-fit decreasing, and dual feasible functions bound the bins that it must use. Where the bound
 is missed (and for the emptiest bin of a partition that meets it) the badly filled bins give back their pieces; these
-are dealt anew among fewer partitions and packed again, until nothing is given back, a
-single partition has packed all that was, or a round doesn't gain.
+are dealt anew and packed again, until nothing is given back, a single partition has packed all that was,
+or a round doesn't gain: it neither saves a sequence nor leaves fewer pieces to give back. No number of rounds ends it.
 
 Defined results: a null text is empty and is the separator alone; rows that repeat an id are packed
 each for itself; a null id is packed like any other; strings of special tokens in a text are ordinary text.
@@ -13,6 +13,7 @@ each for itself; a null id is packed like any other; strings of special tokens i
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import zlib
@@ -29,7 +30,6 @@ from tidemark.llm.pretokens import Memo
 CAPACITY = 2048
 #: Pieces that one partition packs, about.
 PART = 30_000
-ROUNDS = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -170,8 +170,11 @@ def _pack(capacity: int, turn: int):
     return of
 
 
-def pack(rows: DataFrame, *, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
-    """``rows`` (with ``doc_id, piece, length, ids_crc32`` and any others) and their ``sequence_id`` and ``offset``."""
+def pack(rows: DataFrame, *, capacity: int = CAPACITY, part: int = PART, rounds: int | None = None) -> DataFrame:
+    """``rows`` (with ``doc_id, piece, length, ids_crc32`` and any others) and their ``sequence_id`` and ``offset``.
+
+    ``rounds`` ends the exchange early, if given.
+    """
     columns = [c for c in rows.columns if c not in ("sequence_id", "offset")]
     rows = cut(rows.select(*columns))
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -186,7 +189,7 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, part: int = PART, rounds:
     ]
     pool = rows.where(F.col("length") < capacity)
     n, before, kept = pool.count(), None, None
-    for turn in range(rounds):
+    for turn in itertools.count():
         parts = max(1, math.ceil(n / part))
         dealt = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("__td_part")
         packed = cut(
@@ -196,8 +199,9 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, part: int = PART, rounds:
         if before is not None and bins > before:
             done.append(kept.drop("__td_open"))  # no gain: as it was
             break
-        n = packed.where("__td_open").count()
-        if not n or parts == 1 or turn == rounds - 1:
+        pieces_before, n = n, packed.where("__td_open").count()
+        gained = before is None or bins < before or n < pieces_before
+        if not n or parts == 1 or not gained or turn + 1 == rounds:
             done.append(packed.drop("__td_open"))
             break
         done.append(packed.where(~F.col("__td_open")).drop("__td_open"))
