@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import byte_bpe as B
 from tidemark.llm import packing as P
 from tidemark.llm import pretokens as T
+from tidemark.llm.texthash import word_hashes
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 ALPHABET = "abst'rel vmd  \n\t19!?é漢\u00a0²LlS\"_\U0001f600"
@@ -35,6 +36,35 @@ def test_pretokens_equal_the_pattern(text):
     assert split(text) == PATTERN.findall(text)
 
 
+def thue_morse(n):
+    """A word and its complement, whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hash_tells_odd_pairs_apart():
+    rng = np.random.default_rng(1)
+    texts = [*thue_morse(1024), *thue_morse(4096), "a" * 8, "a" * 9, "a" * 16, "a\0", "a", "\0", "ab" * 8, "ba" * 8]
+    texts += ["".join(map(chr, rng.integers(97, 99, 24))) for _ in range(2000)]
+    texts = sorted(set(texts))
+    hashes = np.concatenate([h for h, _ in word_hashes(pa.array(texts), lower=False)])
+    assert len(set(hashes.tolist())) == len(texts)
+    alone = [next(word_hashes(pa.array([t]), lower=False))[0][0] for t in texts[:200]]
+    assert hashes[:200].tolist() == alone
+    assert [h.tolist() for h, _ in word_hashes(pa.array(["ABC É"]))] == [h.tolist() for h, _ in word_hashes(pa.array(["abc É"]))]
+
+
+def test_memo_compares_bytes(monkeypatch, library):
+    """With a hash that tells nothing apart, and a small memo, the ids are still right."""
+    monkeypatch.setattr(T, "hash_blocks", lambda blocks, per_word, size: np.asarray(size % 3, np.uint64))
+    transducer = B.Transducer(B.read_ranks(B.multi_vocabulary()))
+    memo = T.Memo(lambda pieces: [transducer.encode(p) for p in pieces], most=40)
+    texts = ["the cat sat on the mat and the dog", None, "", "x" * 30 + " it's 12 \n\n  " + "é" * 20, *thue_morse(1024), *thue_morse(64)] * 3
+    for most in (1 << 18, 50):
+        got = [x.tolist() for x in memo.encode_column(pa.array(texts), most)]
+        assert got == [library.encode_ordinary(t or "") for t in texts]
+
+
 def test_documents_do_not_run_together():
     texts = ["a ", " b", "", "'s", "x'", "ll"]
     data = "".join(texts).encode()
@@ -72,6 +102,13 @@ def test_transducer_on_words(ranks, library):
         assert small.encode(word) == library._encode_single_piece(word)
 
 
+def test_states_are_bounded_inside_a_text(ranks, library):
+    small = B.Transducer(ranks, most_states=50)
+    data = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert small.encode(data.encode()) == library.encode_ordinary(data)
+    assert len(small.states) <= 51
+
+
 def test_encoding_whole_texts(library):
     texts = [r[1] for r in ODD] + ["<|endoftext|> x", "a" * 3000]
     memo = B._tools(B.multi_vocabulary())[0]
@@ -163,11 +200,11 @@ def check_packed(rows, capacity):
 
 
 def test_packing_documents(spark):
-    rows = [*ODD, (30, "<|endoftext|> is text", "en", "s", 0)]
+    named = ["<|endoftext|> is a token", "so is\n<|endoftext|>", "a<|endoftext|><|endoftext|> b " * 900, "<|endoftext| isn't"]
+    rows = [*ODD, *[(30 + i, t, "en", "s", 0) for i, t in enumerate(named)]]
     got = P.best_fit_packing(frame(spark, rows).withColumnRenamed("n_chars", "length"), ids=True).collect()
     check_packed(got, P.CAPACITY)
     tokenizer = Tokenizer.from_file(P.vocabulary())
-    tokenizer.encode_special_tokens = True
     want = []
     for i, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]

@@ -7,8 +7,8 @@ So after a prefix it is enough to know, for each start of a token that may still
 trie node of the bytes since, and the tokens up to there that aren't out yet. That is a state; it
 takes a byte to the next state, and emits the tokens that all its starts agree on. A start lives as
 long as its bytes are a prefix of some token, so the lookahead is bounded by the longest token. States and
-transitions are made when a text first needs them and kept, up to a limit, after which the
-transducer starts anew.
+transitions are made when a text first needs them and kept, up to a limit; then the transducer starts anew, with
+the state it is in, in the middle of a text too.
 
 Decoding is a stream: ids become bytes, and an incremental UTF-8 state machine lets out whole characters only; a
 character that a token leaves open is finished by later ones, and what can't be UTF-8 becomes U+FFFD.
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import frugal
 from tidemark.llm.pretokens import Memo, gather
 
 MOST_STATES = 100_000
@@ -82,10 +83,21 @@ class Transducer:
 
     def reset(self) -> None:
         # a state is a tuple of starts (trie node, last token before it or -1, tokens before it not emitted), the youngest last
-        self.states: list[tuple] = [((0, -1, ()),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.flush: list[tuple[int, ...]] = [()]
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.flush: list[tuple[int, ...]] = []
+        self._state(((0, -1, ()),))
+
+    def _state(self, key: tuple) -> int:
+        """The number of a state, a new one if need be."""
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+            self.flush.append(key[-1][2])
+        return number
 
     def joins(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left``: together they encode to themselves."""
@@ -123,21 +135,16 @@ class Transducer:
         while any(p[:common] != first[:common] for _, _, p in live):
             common -= 1
         key = tuple((node, before, pending[common:]) for node, before, pending in live)
-        number = self.number.get(key)
-        if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-            self.flush.append(key[-1][2])
-        move = self.moves[state][byte] = (number, first[:common])
+        if len(self.states) >= self.most:
+            self.reset()
+            return self._state(key), first[:common]
+        move = self.moves[state][byte] = (self._state(key), first[:common])
         return move
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most:
-            self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out = 0, []
         for byte in data:
-            move = moves[state].get(byte) or self._step(state, byte)
+            move = self.moves[state].get(byte) or self._step(state, byte)
             state = move[0]
             if move[1]:
                 out.extend(move[1])
@@ -252,7 +259,7 @@ def encode(docs: DataFrame, *, path: str | None = None, text: str = "text", doc_
             ids = [x.astype(np.int64) for x in memo.encode_column(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(of, "doc_id long, ids array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(frugal(of), "doc_id long, ids array<long>")
 
 
 def decode_text(ids: np.ndarray, token: list[bytes], step: int = 4096) -> str:
@@ -272,7 +279,7 @@ def decode(coded: DataFrame, *, path: str | None = None) -> DataFrame:
             texts = [decode_text(np.array(ids or [], np.int64), token) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(frugal(of), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, *, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -293,7 +300,7 @@ def round_trip(docs: DataFrame, *, path: str | None = None, text: str = "text",
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(of, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(frugal(of), schema)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ are dealt anew and packed again, until nothing is given back, a single partition
 or a round doesn't gain: it neither saves a sequence nor leaves fewer pieces to give back. No number of rounds ends it.
 
 Defined results: a null text is empty and is the separator alone; rows that repeat an id are packed
-each for itself; a null id is packed like any other; strings of special tokens in a text are ordinary text.
+each for itself; a null id is packed like any other; the string of an added token in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import os
 import zlib
@@ -21,10 +22,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, frugal
 from tidemark.llm.pretokens import Memo
 
 CAPACITY = 2048
@@ -39,18 +41,38 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@cache
-def _memo(path: str) -> Memo:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """Texts to ids as the library encodes them; ``added``: the strings that are tokens of their own wherever they stand."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file).get("added_tokens", [])]
+        self.memo = Memo(self._pieces)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode() for p in pieces]
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+    def encode_column(self, texts: pa.Array):
+        """The ids of each text; one that names an added token goes to the library as a whole."""
+        texts = texts.cast(pa.large_string())
+        named = np.zeros(len(texts), bool)
+        for token in self.added:
+            named |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(named), pa.scalar(None, pa.large_string()), texts) if named.any() else texts
+        for at, coded in enumerate(self.memo.encode_column(plain)):
+            if named[at]:
+                coded = np.array(self.whole.encode(texts[at].as_py(), add_special_tokens=False).ids, np.uint32)
+            yield coded
 
-    return Memo(encode)
+
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -67,12 +89,12 @@ def pieces(
     path = path or vocabulary()
 
     def of(batches):
-        memo = _memo(path)
+        encoder = _encoder(path)
         end = np.array([separator], np.uint32)
         for batch in batches:
             rows, whole = [], []
             keys = batch.column(0).to_pylist()
-            for key, coded in zip(keys, memo.encode_column(batch.column(1))):
+            for key, coded in zip(keys, encoder.encode_column(batch.column(1))):
                 coded = np.concatenate((coded, end)).astype("<u4")
                 for k, (at, size) in enumerate(cuts(len(coded), capacity)):
                     part = coded[at : at + size]
@@ -89,7 +111,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = PIECES + (", ids array<long>" if ids else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(of, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(frugal(of), schema)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:

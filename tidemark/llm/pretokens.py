@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.texthash import hash_words, slices
+from tidemark.llm.texthash import SLICE, hash_blocks, slices, word_blocks
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 # The Unicode White_Space property.
@@ -88,47 +88,75 @@ def _contractions(quote, cp, kind, run, opens, start) -> None:
 
 
 class Memo:
-    """Encodings of pre-tokens, by hash; when ``most`` are held it starts anew, so memory is bounded."""
+    """Encodings of pre-tokens. They are found by a hash and used only where all bytes agree.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    When ``most`` are held, or ``room`` blocks of eight bytes, it starts anew, so memory is bounded by these and one slice.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 200_000, room: int = 1_000_000):
+        self.encode, self.most, self.room = encode, most, room
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        # the slot of each hash, by hash; of each slot its size, its blocks and its ids
+        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.block_at, self.blocks = np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        self.id_at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, raw, begin, end, blocks, per_token, which: np.ndarray) -> np.ndarray:
+        """New slots for these pre-tokens of a slice."""
+        data = raw.tobytes()
+        coded = self.encode([data[a:b] for a, b in zip(begin[which].tolist(), end[which].tolist())])
+        first = np.cumsum(per_token) - per_token
+        base = len(self.size)
+        self.size = np.concatenate((self.size, (end - begin)[which]))
+        self.blocks = np.concatenate((self.blocks, blocks[gather(first[which], per_token[which])]))
+        self.block_at = np.concatenate((self.block_at, self.block_at[-1] + np.cumsum(per_token[which])))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.ids = np.concatenate((self.ids, np.array([i for ids in coded for i in ids], np.uint32)))
+        self.id_at = np.concatenate((self.id_at, self.id_at[-1] + np.cumsum(sizes)))
+        return base + np.arange(len(which))
 
     def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each document)."""
         begin, end, per_doc = spans(raw, off)
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        if len(self.slot) > self.most:
+        if len(self.size) > self.most or len(self.blocks) > self.room:
             self.clear()
-        hashes = hash_words(raw, begin, end, lower=False)
-        some, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        get = self.slot.get
-        slots = np.fromiter((get(h, -1) for h in some.tolist()), np.int64, len(some))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            data = raw.tobytes()
-            picked = where[new]
-            coded = self.encode([data[a:b] for a, b in zip(begin[picked].tolist(), end[picked].tolist())])
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            base = len(self.first) - 1
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-            self.ids = np.concatenate((self.ids, np.array([i for ids in coded for i in ids], np.uint32)))
-            slots[new] = base + np.arange(len(new))
-            self.slot.update(zip(some[new].tolist(), slots[new].tolist()))
+        size = end - begin
+        blocks, per_token = word_blocks(raw, begin, end)
+        some, where, back = np.unique(hash_blocks(blocks, per_token, size), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, some)
+        known = np.zeros(len(some), bool)
+        inside = at < len(self.key)
+        known[inside] = self.key[at[inside]] == some[inside]
+        slots = np.full(len(some), -1)
+        slots[known] = self.slot[at[known]]
+        if not known.all():
+            slots[~known] = self._add(raw, begin, end, blocks, per_token, where[~known])
+            self.key = np.insert(self.key, at[~known], some[~known])
+            self.slot = np.insert(self.slot, at[~known], slots[~known])
         used = slots[back]
-        size = (self.first[1:] - self.first[:-1])[used]
-        out = self.ids[gather(self.first[used], size)]
-        done = np.concatenate(([0], np.cumsum(size)))
+        # a slot of another text with the same hash doesn't count: such a pre-token gets a slot that no hash finds
+        same = self.size[used] == size
+        fits = np.flatnonzero(same)
+        theirs = self.blocks[gather(self.block_at[used[fits]], per_token[fits])]
+        own = blocks if len(fits) == len(size) else blocks[gather((np.cumsum(per_token) - per_token)[fits], per_token[fits])]
+        cuts = np.cumsum(per_token[fits]) - per_token[fits]
+        if len(fits):
+            same[fits] = np.logical_and.reduceat(theirs == own, cuts)
+        if not same.all():
+            other = np.flatnonzero(~same)
+            used[other] = self._add(raw, begin, end, blocks, per_token, other)
+        count = (self.id_at[1:] - self.id_at[:-1])[used]
+        out = self.ids[gather(self.id_at[used], count)]
+        done = np.concatenate(([0], np.cumsum(count)))
         edge = np.concatenate(([0], np.cumsum(per_doc)))
         return out, np.diff(done[edge])
 
-    def encode_column(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[np.ndarray]:
+    def encode_column(self, texts: pa.Array, most: int = SLICE) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; null is empty."""
         for raw, off in slices(texts, most):
             ids, sizes = self.encode_slice(raw, off)
