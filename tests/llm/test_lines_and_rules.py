@@ -118,3 +118,27 @@ def test_rare_languages(spark):
     assert not got[40_000]["kept"] and not got[40_000]["base_failed"]
     kept = {r["doc_id"] for r in Q.rules_filter(docs).where("doc_id >= 20000").collect()}
     assert kept == {20_000 + i for i in range(11)} | {30_000}
+
+
+def test_rules_equal_their_sql(spark, tmp_path):
+    """Rare languages, a language of too little text, null languages and texts: the query and its SQL say the same."""
+    import random
+
+    import duckdb
+
+    dice = random.Random(5)
+    english = ["the", "of", "and", "to", "in"] * 8 + [f"w{chr(97 + i)}{chr(97 + j)}er" for i in range(10) for j in range(10)]
+    other = [f"k{chr(97 + i)}{chr(97 + j)}a" for i in range(15) for j in range(15)]
+    prose = lambda words_, n: " ".join(dice.choice(words_) for _ in range(n))
+    rows = [(i, prose(english, 60 + i), "en" if i % 7 else None, "s", 0) for i in range(150)]
+    rows += [(200 + i, prose(other, 200), "rare", "s", 0) for i in range(9)] + [(300, prose(other, 99), "lone", "s", 0)]
+    rows += [(400 + i, prose(english, 99).upper() + " ###" * 60, lang, "s", 0) for i, lang in enumerate(("rare", None, "en"))]
+    rows += [(500, None, "en", "s", 0), (501, "", None, "s", 0), (502, prose(other, 300), "en", "s", 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op1_quality_divergence(spark, str(tmp_path))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(Q.OP1_SQL)
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    kept = {r["doc_id"] for r in got.where("kept").collect()}
+    assert not kept & {400, 401, 402, 502} and kept >= {300, *range(200, 209)}

@@ -11,8 +11,9 @@ reads the table. Every language has a reference, however rare, unless its docume
 ``REFERENCE_WORDS`` words; the references stand in a table that the counts are joined with by language.
 
 Defined results: a null text has no words and fails the base rules; in a language without a reference the
-distances are null and the base rules decide; a null language is judged by the nearest of the 16 largest references; rows that
-repeat an id are judged each for itself; columns named like the outputs are replaced.
+distances are null and the base rules decide; with a null language the classes are held against those of all languages
+together and the words aren't judged; rows that repeat an id are judged each for itself; columns named like the outputs
+are replaced.
 """
 
 from __future__ import annotations
@@ -44,9 +45,6 @@ MIN_CHARS_FOR_CLASSES = 300
 MIN_WORDS_FOR_WORDS = 50
 #: A language has a reference from so many words on: its own noise is then a tenth of the limit of the words at most.
 REFERENCE_WORDS = 10 * WORD_NOISE / MAX_WORD_DISTANCE_SQUARED
-#: The SQL still gives a language a reference from this share of all documents on.
-REFERENCE_SHARE = 0.001
-NEAREST = 16
 #: A document shapes its language's reference if it has so many lower-case letters for a symbol, and for a capital.
 REFERENCE_SYMBOLS = 50
 REFERENCE_CAPITALS = 4
@@ -169,7 +167,10 @@ def base_failed() -> Column:
 
 
 def references(counted: DataFrame, lang: str = "lang") -> DataFrame:
-    """``__td_lang, __td_n, __td_rc, __td_rw``: documents, class shares and word shares of every language with enough text."""
+    """``__td_lang, __td_rc, __td_rw``: class shares and word shares of every language with enough text.
+
+    Under the null language stand the class shares of all languages together, without word shares.
+    """
     n = len(CLASSES), len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("__td_classes")[i]).alias(f"c{i}") for i in range(n[0])]
     sums += [F.sum(F.col("__td_common")[i]).alias(f"w{i}") for i in range(n[1])]
@@ -177,34 +178,26 @@ def references(counted: DataFrame, lang: str = "lang") -> DataFrame:
     # plainly odd texts don't shape a reference, however many they are
     plain = (size["symbol"] * REFERENCE_SYMBOLS <= size["lower"]) & (size["upper"] * REFERENCE_CAPITALS <= size["lower"])
     good = counted.where(F.col(lang).isNotNull() & ~base_failed() & plain & (F.col("__td_barrier") >= 0))
-    by = good.groupBy(F.col(lang).alias("__td_lang")).agg(F.count("*").alias("__td_n"), *sums)
+    by = cut(good.groupBy(F.col(lang).alias("__td_lang")).agg(*sums), "quality-sums")
+    together = by.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n[0])], *[F.sum(f"w{i}").alias(f"w{i}") for i in range(n[1])])
     c, w = F.array(*[f"c{i}" for i in range(n[0])]), F.array(*[f"w{i}" for i in range(n[1])])
     enough = F.aggregate(w, F.lit(0).cast("long"), lambda a, b: a + b) >= F.lit(REFERENCE_WORDS)
-    found = by.where(enough).select("__td_lang", "__td_n", _shares(c).alias("__td_rc"), _shares(w).alias("__td_rw"))
-    return cut(found, "quality-references")
-
-
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
+    own = by.where(enough).select("__td_lang", _shares(c).alias("__td_rc"), _shares(w).alias("__td_rw"))
+    none = F.lit(None)
+    mixed = together.where(enough).select(
+        none.cast("string").alias("__td_lang"), _shares(c).alias("__td_rc"), none.cast("array<double>").alias("__td_rw")
+    )
+    return cut(own.unionAll(mixed), "quality-references")
 
 
 def judge(counted: DataFrame, refs: DataFrame, lang: str = "lang") -> DataFrame:
     """Adds ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``."""
-    near = refs.orderBy(F.desc("__td_n"), "__td_lang").limit(NEAREST).collect()
-    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    nearest = [
-        _least([js_distance(F.col(h), array(r[k])) for r in near]) if near else F.lit(None).cast("double")
-        for h, k in (("__td_classes", "__td_rc"), ("__td_common", "__td_rw"))
-    ]
-    with_distance = counted.join(refs, F.col(lang) == F.col("__td_lang"), "left").withColumns(
+    with_distance = counted.join(refs, F.col(lang).eqNullSafe(F.col("__td_lang")), "left").withColumns(
         {
-            name: F.when(F.col(lang).isNull(), other).when(F.col(r).isNotNull(), js_distance(F.col(h), F.col(r)))
-            for name, h, r, other in (
-                ("class_distance", "__td_classes", "__td_rc", nearest[0]),
-                ("word_distance", "__td_common", "__td_rw", nearest[1]),
-            )
+            name: F.when(F.col(r).isNotNull(), js_distance(F.col(h), F.col(r)))
+            for name, h, r in (("class_distance", "__td_classes", "__td_rc"), ("word_distance", "__td_common", "__td_rw"))
         }
-    ).drop("__td_lang", "__td_n", "__td_rc", "__td_rw")
+    ).drop("__td_lang", "__td_rc", "__td_rw")
     chars = reduce(lambda a, b: a + b, [F.col("__td_classes")[i] for i in range(len(CLASSES))])
     far = (chars >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     limit = F.lit(MAX_WORD_DISTANCE_SQUARED) + F.lit(WORD_NOISE) / F.greatest(F.col("n_words"), F.lit(1))
@@ -229,13 +222,13 @@ def quality_rules(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
 
 
 def rules_filter(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, in all their columns. Texts are read twice rather than shuffled."""
-    keyed = F.col(lang).alias("__td_lang_of")
-    refs = references(counts(docs.select(keyed, F.col(text).alias("__td_of")), "__td_of"), "__td_lang_of")
-    rows = docs.select(F.struct(*docs.columns).alias("__td_row"), keyed, F.col(text).alias("__td_of"))
-    return judge(counts(rows, "__td_of"), refs, "__td_lang_of").where(
-        F.col("kept") & (F.col("__td_barrier") >= 0)
-    ).select("__td_row.*")
+    """The rows of ``docs`` that the rules keep, in all their columns: written once beside their counts, then judged."""
+    rows = docs.select(
+        F.struct(*docs.columns).alias("__td_row"), F.col(lang).alias("__td_lang_of"), F.col(text).alias("__td_of")
+    )
+    counted = cut(counts(rows, "__td_of"), "quality-rows")
+    refs = references(counted, "__td_lang_of")
+    return judge(counted, refs, "__td_lang_of").where("kept").select("__td_row.*")
 
 
 def op1_quality_divergence(spark, sf_dir: str) -> DataFrame:
@@ -289,9 +282,6 @@ WITH base AS (
   SELECT lang, doc_id, classes, common FROM judged
   WHERE lang IS NOT NULL AND NOT base_failed AND classes[4] * {REFERENCE_SYMBOLS} <= classes[1]
     AND classes[2] * {REFERENCE_CAPITALS} <= classes[1]
-), sizes AS (
-  SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS place FROM (SELECT lang, count(*) AS n FROM plain GROUP BY lang)
-  WHERE n >= greatest(1.0, {REFERENCE_SHARE} * (SELECT count(*) FROM documents))
 ), class_sums AS (
   SELECT lang, list(v ORDER BY i) AS h FROM (
     SELECT lang, i, sum(v) AS v FROM (SELECT lang, unnest(range(1, len(classes) + 1)) AS i, unnest(classes) AS v FROM plain) GROUP BY lang, i)
@@ -300,23 +290,28 @@ WITH base AS (
   SELECT lang, list(v ORDER BY i) AS h FROM (
     SELECT lang, i, sum(v) AS v FROM (SELECT lang, unnest(range(1, len(common) + 1)) AS i, unnest(common) AS v FROM plain) GROUP BY lang, i)
   GROUP BY lang
+), large AS (
+  SELECT w.lang, c.h AS c, w.h AS w FROM word_sums w JOIN class_sums c ON w.lang = c.lang WHERE list_sum(w.h) >= {REFERENCE_WORDS}
+), mixed AS (
+  SELECT list(v ORDER BY i) AS h FROM (
+    SELECT i, sum(v) AS v FROM (SELECT unnest(range(1, len(classes) + 1)) AS i, unnest(classes) AS v FROM plain) GROUP BY i)
+  WHERE (SELECT sum(list_sum(common)) FROM plain) >= {REFERENCE_WORDS}
 ), refs AS (
-  SELECT s.lang, s.place, {share.format(h="c.h")} AS rc, {share.format(h="w.h")} AS rw
-  FROM sizes s JOIN class_sums c ON s.lang = c.lang JOIN word_sums w ON s.lang = w.lang
+  SELECT lang, {share.format(h="c")} AS rc, {share.format(h="w")} AS rw FROM large
+  UNION ALL SELECT NULL, {share.format(h="h")}, NULL FROM mixed WHERE h IS NOT NULL
 ), shares AS (
-  SELECT doc_id, lang, {share.format(h="classes")} AS pc, {share.format(h="common")} AS pw FROM judged
+  SELECT *, {share.format(h="classes")} AS pc, {share.format(h="common")} AS pw FROM judged
 ), far AS (
-  SELECT d.doc_id, min({distance("pc", "rc")}) AS class_distance, min({distance("pw", "rw")}) AS word_distance
-  FROM shares d JOIN refs r
-    ON r.lang = d.lang OR (r.place <= {NEAREST} AND (d.lang IS NULL OR d.lang NOT IN (SELECT lang FROM refs)))
-  GROUP BY d.doc_id
+  SELECT d.*, CASE WHEN rc IS NOT NULL THEN {distance("pc", "rc")} END AS class_distance,
+         CASE WHEN rw IS NOT NULL THEN {distance("pw", "rw")} END AS word_distance
+  FROM shares d LEFT JOIN refs r ON r.lang IS NOT DISTINCT FROM d.lang
 )
-SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
-       NOT j.base_failed AND NOT coalesce(
-         (j.chars >= {MIN_CHARS_FOR_CLASSES} AND class_distance > {MAX_CLASS_DISTANCE})
-         OR (j.n_words >= {MIN_WORDS_FOR_WORDS} AND word_distance * word_distance
-             > {MAX_WORD_DISTANCE_SQUARED} + {WORD_NOISE} / greatest(j.n_words, 1)), false) AS kept
-FROM judged j LEFT JOIN far ON j.doc_id = far.doc_id
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(
+         (chars >= {MIN_CHARS_FOR_CLASSES} AND class_distance > {MAX_CLASS_DISTANCE})
+         OR (n_words >= {MIN_WORDS_FOR_WORDS} AND word_distance * word_distance
+             > {MAX_WORD_DISTANCE_SQUARED} + {WORD_NOISE} / greatest(n_words, 1)), false) AS kept
+FROM far
 """
 
 
