@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_column, restored
+from tidemark.llm.common import cut, frugal, id_column, restored
 from tidemark.llm.texthash import mix, word_hashes
 
 BUCKETS = 1 << 22
@@ -67,7 +67,7 @@ def lexicon(docs: DataFrame, *, text: str = "text", low: float = LOW_SHARE, high
     total = docs.count()
     words = (
         docs.select(text)
-        .mapInArrow(_frequencies, "bucket int, df int")
+        .mapInArrow(frugal(_frequencies), "bucket int, df int")
         .groupBy("bucket")
         .agg(F.sum("df").alias("df"))
         .where((F.col("df") >= F.lit(max(2.0, low * total))) & (F.col("df") <= F.lit(max(2.0, high * total))))
@@ -205,14 +205,14 @@ def neighbours(docs: DataFrame, bitmap: np.ndarray, *, text: str = "text", doc_i
     keyed = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("t")).withColumn(
         "tie", F.xxhash64(F.coalesce("t", F.lit("")))
     )
-    packed = keyed.mapInArrow(_squeezed, "id long, packed binary, tie long")
+    packed = keyed.mapInArrow(frugal(_squeezed), "id long, packed binary, tie long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         packed.repartitionByRange(parts, "id", "tie")
         .sortWithinPartitions("id", "tie")
         .select("id", "packed", F.spark_partition_id().alias("part"))
     )
-    found = cut(ranged.mapInArrow(_chained(bitmap), f"{_SCHEMA}, side int, part int, packed binary"), "imatch")
+    found = cut(ranged.mapInArrow(frugal(_chained(bitmap)), f"{_SCHEMA}, side int, part int, packed binary"), "imatch")
     inside = found.where("side = 0").select(*_FIELDS)
     borders = found.where("side > 0")
     # the numbers of the partitions that have rows: as many as partitions
@@ -237,7 +237,7 @@ def neighbours(docs: DataFrame, bitmap: np.ndarray, *, text: str = "text", doc_i
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_FIELDS)
 
-    return inside.unionByName(ends.mapInArrow(settle, _SCHEMA))
+    return inside.unionByName(ends.mapInArrow(frugal(settle), _SCHEMA))
 
 
 def fingerprints(docs: DataFrame, bitmap: np.ndarray, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_column, restored
+from tidemark.llm.common import cut, frugal, id_column, restored
 from tidemark.llm.texthash import mix, word_hashes
 
 BUCKETS = 1 << 18
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int
         return Model(np.zeros(buckets), None)
     rows = (
         docs.select(id_column(docs), F.col(text))
-        .mapInArrow(_counted(np.sort(chosen), buckets), "bucket long, raw long, own long")
+        .mapInArrow(frugal(_counted(np.sort(chosen), buckets)), "bucket long, raw long, own long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
         .toArrow()

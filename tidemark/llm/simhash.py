@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_column, restored
+from tidemark.llm.common import cut, frugal, id_column, restored
 from tidemark.llm.components import components, forest
 from tidemark.llm.texthash import _LOWER, slices, words
 
@@ -101,7 +101,7 @@ def simhash(docs: DataFrame, *, shingle: int = 3, text: str = "text", doc_id: st
             fp = fingerprints(batch.column(1), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
-    return docs.select(id_column(docs, doc_id).alias("id"), F.col(text)).mapInArrow(of, "id long, fp long")
+    return docs.select(id_column(docs, doc_id).alias("id"), F.col(text)).mapInArrow(frugal(of), "id long, fp long")
 
 
 def _emit(shards: int):
@@ -175,7 +175,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def ball_links(fps: DataFrame, n: int) -> DataFrame:
     """``a, b``: links that connect whatever lies within three bits, of the ``n`` distinct ``fp`` of ``fps``."""
     shards = max(1, math.ceil(n * 560 / BLOCK))
-    blocks = fps.select("fp").mapInArrow(_emit(shards), "shard int, block binary")
+    blocks = fps.select("fp").mapInArrow(frugal(_emit(shards)), "shard int, block binary")
     return blocks.groupBy("shard").applyInArrow(_meet, "a long, b long")
 
 
