@@ -86,49 +86,81 @@ def test_kth_largest(spark):
 # --- Kneser-Ney ---
 
 
-def test_kneser_ney_by_brute_force(spark, monkeypatch):
+class PlainKneserNey:
+    """The definition, in dictionaries: n-grams of every order with their counts, or numbers of words before them."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.count = collections.Counter(w for t in texts for w in t)
+        grams = {order: collections.Counter()}
+        for t in texts:
+            padded = ["<s>"] * (order - 1) + t
+            grams[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+        for k in range(order - 1, 0, -1):
+            grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
+        self.grams = grams
+        few = lambda c: np.bincount([min(x, 5) for x in c.values()], minlength=6)
+        self.off = {k: (0.0, *K.discounts(few(g))) for k, g in grams.items()}
+        self.total, self.spread = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+        for k, own in grams.items():
+            for g, n in own.items():
+                self.total[k, g[:-1]] += n
+                self.spread[k, g[:-1]][min(n, 3) - 1] += 1
+
+    def p(self, context, w):
+        value = 1 / (len(self.count) + 1)
+        for k in range(1, self.order + 1):
+            own = tuple(context[len(context) - k + 1 :])
+            total, n = self.total[k, own], self.grams[k][(*own, w)]
+            if total:
+                back = sum(d * x for d, x in zip(self.off[k][1:], self.spread[k, own]))
+                value = (max(n - self.off[k][min(n, 3)], 0) + back * value) / total
+        return value
+
+    def score(self, text):
+        padded = ["<s>"] * (self.order - 1) + text
+        return sum(math.log10(self.p(padded[i : i + self.order - 1], w)) for i, w in enumerate(text))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_kneser_ney_by_brute_force(spark, monkeypatch, order):
     dice = random.Random(2)
     vocabulary = [f"W{i}" for i in range(30)]
     rows = [(i, prose(dice, vocabulary[: 5 + i % 26], dice.randint(0, 40)), "en", "s", 0) for i in range(150)] + ODD[2:5]
     docs = frame(spark, rows)
     out = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
-    model = K.train(docs.where(~K.held_out(F.col("doc_id"))))
+    model = K.train(docs.where(~K.held_out(F.col("doc_id"))), order=order)
     tokens = [(i, [*words(lower(t or "")), None]) for i, t, *_ in rows]
-    count, pair, n_texts = collections.Counter(), collections.Counter(), 0
-    for i, w in tokens:
-        if not out(i):
-            n_texts += 1
-            count.update(w)
-            pair.update(zip(["<s>", *w[:-1]], w))
-    few = lambda c: np.bincount([min(x, 5) for x in c.values()], minlength=6)
-    follows, spread = collections.Counter(w for _, w in pair), collections.defaultdict(lambda: [0, 0, 0])
-    for (v, _), n in pair.items():
-        spread[v][min(n, 3) - 1] += 1
-    high, low = (0.0, *K.discounts(few(pair))), (0.0, *K.discounts(few(follows)))
-    n1 = few(follows)
-    share = sum(d * n for d, n in zip(low[1:], (n1[1], n1[2], n1[3:].sum()))) / len(pair)
-
-    def lower_order(w):
-        return max(follows[w] - low[min(follows[w], 3)], 0) / len(pair) + share / (len(count) + 1)
-
-    def p(v, w):
-        total = n_texts if v == "<s>" else count[v]
-        if not total:
-            return lower_order(w)
-        back = sum(d * n for d, n in zip(high[1:], spread[v])) / total
-        return max(pair[v, w] - high[min(pair[v, w], 3)], 0) / total + back * lower_order(w)
-
-    assert abs(sum(p("w1", w) for w in count) + p("w1", "unseen") - 1) < 1e-9
+    plain = PlainKneserNey([w for i, w in tokens if not out(i)], order)
+    count = plain.count
+    context = ["w1", "w2", "w3"][4 - order :]
+    assert abs(sum(plain.p(context, w) for w in count) + plain.p(context, "unseen") - 1) < 1e-9
     got = sorted(map(tuple, K.score(docs, model).collect()), key=repr)
     want = []
     for i, w in tokens:
         base = sum(math.log10((count[x] + 1) / (sum(count.values()) + len(count) + 1)) for x in w)
-        want.append((i, len(w), sum(count[x] > 0 for x in w), base, sum(math.log10(p(v, x)) for v, x in zip(["<s>", *w[:-1]], w))))
+        want.append((i, len(w), sum(count[x] > 0 for x in w), base, plain.score(w)))
     for g, e in zip(got, sorted(want, key=repr)):
         assert g[:3] == e[:3] and abs(g[3] - e[3]) < 1e-8 and abs(g[4] - e[4]) < 1e-8
     assert K.with_perplexity(K.score(docs, model)).where("perplexity < 1").count() == 0
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    """Sums of blocks that together pass 2**32 are neither cut nor wrapped."""
+    ids, n = np.array([3, 4], np.uint32), np.array([3_000_000_000, 7], np.uint32)
+    block = ids.tobytes() + ids.tobytes() + n.tobytes()
+    table = pa.table({"kind": ["ngram2"] * 2, "shard": [0] * 2, "n": [2] * 2, "block": [block] * 2})
+    out = pa.Table.from_batches(list(K._write_ngrams(str(tmp_path), 2, 0, 4, table, np.dtype(np.uint32)))).to_pylist()
+    assert sorted(np.load(tmp_path / "ngram2count-0.npy").tolist()) == [14, 6_000_000_000]
+    own = [r for r in out if r["kind"] == "context2"]
+    totals = sorted(x for r in own for x in np.frombuffer(r["block"], np.uint64, r["n"], r["n"] * 20).tolist())
+    assert totals == [14, 6_000_000_000]
+    shard = own[0]["shard"]
+    K._write_contexts(str(tmp_path), 2, shard, pa.Table.from_pylist([r for r in own if r["shard"] == shard]))
+    assert np.load(tmp_path / f"context2sums-{shard}.npy")[:, 3].max() in (14, 6_000_000_000)
+    assert K.Words("", 4, 2**32).kind == np.uint64 and K.Words("", 4, 1000).kind == np.uint32
+
+
 def test_kneser_ney_on_nothing(spark):
     model = K.train(frame(spark, []))
     got = K.score(frame(spark, ODD[:4]), model).collect()

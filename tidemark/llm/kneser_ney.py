@@ -1,22 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted arrays that workers map.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays that workers map.
 
 1. Word hashes of the training texts are counted a task at a time and merged by ranges of the hash; every
    range is written as a sorted array, so a word's id is its place in all ranges together.
-2. Pairs (context id, word id) are counted a task at a time and merged by a hash of the pair, so that a frequent context or
-   word is spread over all shards; every shard is written as a sorted array of packed pairs and their counts. It passes on,
-   already summed, the continuation counts its pairs add to their contexts and words.
-3. Those are summed by ranges of ids and written as dense arrays.
+2. N-grams of ids are counted a task at a time and merged by a hash of the n-gram, so that a frequent context or
+   word is spread over all shards; every shard is written as a sorted array of hashes and their counts. It passes on,
+   already summed, what its n-grams add to their contexts, and how many of them end in each (n-1)-gram.
+3. Those continuation counts make the next lower order by the same step, down to single words.
 
-Discounts (D1, D2, D3+) of both orders come from the counts of counts, the only numbers the driver sees besides the
-sizes of the shards. Scoring maps the arrays (page cache, not heap), looks up each slice's distinct words and pairs by
-binary search and never shuffles. A text is its words and one end; its first word's context is a start mark.
+Discounts (D1, D2, D3+) of every order come from its counts of counts, the only numbers the driver sees besides the
+sizes of the shards. Scoring maps the arrays (page cache, not heap), looks up each slice's distinct n-grams by
+binary search, a shard after the other, and never shuffles. A text is its words and one end, behind ``order - 1`` start marks.
 
-p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w), and p(w) likewise from the number of contexts w follows, interpolated with
-1 / (V + 1), which is all that an unknown word gets; an unknown context leaves p(w).
+p(w|uv) = max(c(uvw) - D(c(uvw)), 0) / c(uv.) + g(uv) p(w|v), and so on down, where c are counts in the highest order and numbers
+of distinct words before the n-gram in the lower ones; single words are interpolated with 1 / (V + 1), which is all that an
+unknown word gets; an unknown context leaves the lower order's probability.
 
 The files stand in the shared folder (``spark.checkpoint.dir``), which must be mounted (a ``file:`` path) as workers map them;
-they are written under another name and renamed, so a repeated task does no harm. The order is two: with
-three the arrays of an unpruned model and their shuffle outgrow four times the input (see README).
+they are written under another name and renamed, so a repeated task does no harm. Counts and sums have 64 bits where they need
+them, ids 32 or 64 as the vocabulary asks; n-grams are told apart by hashes of 64 bits.
 
 Defined results: a null text is empty (its end alone); without training tokens every word is unknown and a text of n
 tokens scores 0 n (V is 0, all mass on the unknown word); rows are judged each by its own text and id; a null id has the text ''.
@@ -30,23 +31,25 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir
-from tidemark.llm.texthash import mix, word_hashes
+from tidemark.llm.common import frugal, shared_dir
+from tidemark.llm.texthash import _ODD, mix, word_hashes
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0xE17A1B2C3D4E5F60)
-#: Words that a task counts at once, entries of a shard, and ids of a range, about.
-FLUSH = 3_000_000
-SHARD = 3_000_000
-RANGE = 1 << 20
-NOBODY = np.uint32(0xFFFFFFFF)
+ORDER = 2
+#: Tokens that a task counts at once, tokens that it scores at once, and entries of a shard, about.
+FLUSH = 2_000_000
+SLICE = 250_000
+SHARD = 2_000_000
+#: Files that a worker holds mapped.
+MAPPED = 128
 
 
 def local_path(uri: str) -> str:
@@ -97,21 +100,31 @@ def _blocks(shard: np.ndarray, *columns: np.ndarray, kind: str = "") -> Iterator
         )
 
 
-def _unpack(table: pa.Table, *kinds) -> list[np.ndarray]:
+def _unpack(blocks, *kinds) -> list[np.ndarray]:
+    """The columns of packed rows ``(n, block)``, one after the other."""
     out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for n, block in zip(table.column("n").to_pylist(), table.column("block").to_pylist()):
+    for n, block in blocks:
         at = 0
         for k, kind in enumerate(kinds):
             out[k].append(np.frombuffer(block, kind, n, at))
             at += n * np.dtype(kind).itemsize
-    return [np.concatenate(o) for o in out]
+    return [np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, kinds)]
+
+
+def _rows(table: pa.Table):
+    return zip(table.column("n").to_pylist(), table.column("block").to_pylist())
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the least bytes that hold them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if values.size else 0))
 
 
 _PACKED = "kind string, shard long, n long, block binary"
 
 
-def _token_slices(batches, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(token hashes, tokens of each document): words and the end of each text, in pieces of FLUSH words or so."""
+def _token_slices(batches, column: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token hashes, tokens of each document): words and the end of each text, in pieces of ``most`` words or so."""
     held, sizes, n = [], [], 0
     for batch in batches:
         for hashes, per_doc in word_hashes(batch.column(column)):
@@ -119,7 +132,7 @@ def _token_slices(batches, column: int) -> Iterator[tuple[np.ndarray, np.ndarray
             held.append(np.insert(hashes, at, END))
             sizes.append(per_doc + 1)
             n += len(held[-1])
-            if n >= FLUSH:
+            if n >= most:
                 yield np.concatenate(held), np.concatenate(sizes)
                 held, sizes, n = [], [], 0
     if held:
@@ -133,124 +146,162 @@ def _hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _count_words(shards: int):
     def of(batches):
-        for tokens, _ in _token_slices(batches, 0):
+        for tokens, _ in _token_slices(batches, 0, FLUSH):
             keys, counts = np.unique(tokens, return_counts=True)
             yield from _blocks(_hash_shard(keys, shards), keys, counts.astype(np.uint32))
 
-    return of
+    return frugal(of)
 
 
 def _write_words(folder: str):
     def of(key, table):
         shard = key[0].as_py()
-        keys, counts = _unpack(table, np.uint64, np.uint32)
+        keys, counts = _unpack(_rows(table), np.uint64, np.uint32)
         keys, counts = _merge(keys, counts.astype(np.int64))
         _save(f"{folder}/vocabulary-{shard}.npy", keys)
-        _save(f"{folder}/vocabularycount-{shard}.npy", counts)
+        _save(f"{folder}/vocabularycount-{shard}.npy", _narrow(counts))
         return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
 
     return of
 
 
-def _pair_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return mix(pairs) % np.uint64(shards)
+def ngram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each n-gram of ids; its ids stand in as many columns."""
+    value = np.full(len(columns[0]), len(columns), np.uint64)
+    for ids in columns:
+        value = mix(value * _ODD + ids.astype(np.uint64))
+    return value
 
 
-def pairs_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """(context << 32 | word) of every token; the first token's context is ``start``."""
-    context = np.empty(len(ids), np.uint64)
-    context[1:] = ids[:-1]
-    context[np.cumsum(sizes) - sizes] = start
-    return (context << np.uint64(32)) | ids.astype(np.uint64)
+def ngrams(ids: np.ndarray, sizes: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """The columns of the n-gram that ends in each token; before a text stand start marks."""
+    before = order - 1
+    padded = np.full(len(ids) + before * len(sizes), start, ids.dtype)
+    at = np.arange(len(ids)) + before * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = ids
+    return [padded[at - before + k] for k in range(order)]
 
 
-def _count_pairs(words: Words, shards: int):
-    def of(batches):
-        for tokens, sizes in _token_slices(batches, 0):
-            ids, _ = words.look_up(tokens)
-            keys, counts = np.unique(pairs_of(ids, sizes, words.size), return_counts=True)
-            yield from _blocks(_pair_shard(keys, shards), keys, counts.astype(np.uint32))
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts them, where each distinct one starts in it)."""
+    order = np.argsort(hashes, kind="stable")
+    held = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.zeros(0, np.int64)
+    return order, first
 
-    return of
 
+def _count_ngrams(words: Words, order: int, shards: int):
+    def of(batches):
+        for tokens, sizes in _token_slices(batches, 0, FLUSH):
+            ids, _ = words.look_up(tokens)
+            columns = ngrams(ids, sizes, order, words.size)
+            hashes = ngram_hash(columns)
+            place, first = _distinct(hashes)
+            counts = np.diff(np.append(first, len(hashes))).astype(np.uint32)
+            one = place[first]
+            yield from _blocks(hashes[one] % np.uint64(shards), *[c[one] for c in columns], counts, kind=f"ngram{order}")
+
+    return frugal(of)
+
+
+def _write_ngrams(folder: str, order: int, shard: int, shards: int, table: pa.Table, kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Write a shard of n-grams; what they add to their contexts and to the lower order."""
+    *columns, counts = _unpack(_rows(table), *[kind] * order, np.uint32)
+    hashes = ngram_hash(columns)
+    place, first = _distinct(hashes)
+    counts = np.add.reduceat(counts[place].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    one = place[first]
+    hashes, columns = hashes[one], [c[one] for c in columns]
+    del place, one
+    _save(f"{folder}/ngram{order}-{shard}.npy", hashes)
+    _save(f"{folder}/ngram{order}count-{shard}.npy", _narrow(counts))
+    few = np.append(np.bincount(np.minimum(counts, 5), minlength=6), counts.sum()).astype(np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([f"stats{order}"]), pa.array([shard], pa.int64()), pa.array([1], pa.int64()), pa.array([few.tobytes()], pa.binary())],
+        names=["kind", "shard", "n", "block"],
+    )
+    if order == 1 or not len(counts):
+        return
+    context = ngram_hash(columns[:-1])
+    place, first = _distinct(context)
+    sums = [np.add.reduceat((hit)[place], first, dtype=np.uint32) for hit in (counts == 1, counts == 2, counts > 2)]
+    total = np.add.reduceat(counts[place], first).astype(np.uint64)
+    own = context[place[first]]
+    yield from _blocks(own % np.uint64(shards), own, *sums, total, kind=f"context{order}")
+    lower = ngram_hash(columns[1:])
+    place, first = _distinct(lower)
+    one = place[first]
+    n = np.diff(np.append(first, len(lower))).astype(np.uint32)
+    yield from _blocks(lower[one] % np.uint64(shards), *[c[one] for c in columns[1:]], n, kind=f"ngram{order - 1}")
+
+
+def _write_contexts(folder: str, order: int, shard: int, table: pa.Table) -> None:
+    """Three numbers of each context, of n-grams seen once, twice and more often, and the sum of their counts."""
+    keys, *sums = _unpack(_rows(table), np.uint64, np.uint32, np.uint32, np.uint32, np.uint64)
+    place, first = _distinct(keys)
+    dense = np.empty((len(first), 4), np.uint64)
+    for k, column in enumerate(sums):
+        dense[:, k] = np.add.reduceat(column[place].astype(np.uint64), first) if len(first) else 0
+    _save(f"{folder}/context{order}-{shard}.npy", keys[place[first]])
+    _save(f"{folder}/context{order}sums-{shard}.npy", _narrow(dense))
+
+
+def _write(folder: str, order: int, shards: int, kind: np.dtype):
+    """Writes a shard of whatever kind and hands on what is left to write and the counts of counts."""
 
-def _write_pairs(folder: str):
     def of(key, table):
-        shard = key[0].as_py()
-        pairs, counts = _unpack(table, np.uint64, np.uint32)
-        pairs, counts = _merge(pairs, counts.astype(np.int64))
-        _save(f"{folder}/pair-{shard}.npy", pairs)
-        _save(f"{folder}/paircount-{shard}.npy", counts.astype(np.uint32))
-        rows = []
-        few = np.bincount(np.minimum(counts, 5), minlength=6)
-        rows.append(pa.RecordBatch.from_arrays(
-            [pa.array(["stats"]), pa.array([shard], pa.int64()), pa.array([len(pairs)], pa.int64()), pa.array([few.astype(np.int64).tobytes()], pa.binary())],
-            names=["kind", "shard", "n", "block"],
-        ))
-        # what its pairs add to their contexts: pairs seen once, twice, more often
-        context = (pairs >> np.uint64(32)).astype(np.uint32)
-        if len(pairs):
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            sums = [np.add.reduceat(hit, first, dtype=np.uint32) for hit in (counts == 1, counts == 2, counts > 2)]
-            own = context[first]
-            rows += _blocks(own // RANGE, own, *sums, kind="context")
-            word, n = np.unique((pairs & np.uint64(NOBODY)).astype(np.uint32), return_counts=True)
-            rows += _blocks(word // RANGE, word, n.astype(np.uint32), kind="word")
-        return pa.Table.from_batches(rows).cast(rows[0].schema)
+        what, shard = key[0].as_py(), key[1].as_py()
+        out = []
+        if what.startswith("ngram"):
+            out = list(_write_ngrams(folder, int(what[5:]), shard, shards, table, kind))
+        elif what.startswith("context"):
+            _write_contexts(folder, int(what[7:]), shard, table)
+        else:
+            return table
+        return pa.Table.from_batches(out) if out else table.slice(0, 0)
 
     return of
 
 
-def _write_sums(folder: str, size: int):
-    """Dense arrays of a range of ids: contexts' three numbers, or words' numbers of contexts."""
-
-    def of(key, table):
-        kind, shard = key[0].as_py(), key[1].as_py()
-        n = min(RANGE, size + 1 - shard * RANGE)
-        few = np.zeros(6, np.int64)
-        if kind == "context":
-            ids, *sums = _unpack(table, np.uint32, np.uint32, np.uint32, np.uint32)
-            dense = np.zeros((n, 3), np.uint32)
-            for k in range(3):
-                dense[:, k] = np.bincount(ids - shard * RANGE, weights=sums[k], minlength=n)
-        else:
-            ids, sums = _unpack(table, np.uint32, np.uint32)
-            dense = np.bincount(ids - shard * RANGE, weights=sums, minlength=n).astype(np.uint32)
-            few = np.bincount(np.minimum(dense, 5), minlength=6)
-        _save(f"{folder}/{kind}-{shard}.npy", dense)
-        return pa.table({"kind": [kind], "few": [few.astype(np.int64).tobytes()]})
-
-    return of
+@lru_cache(maxsize=MAPPED)
+def _mapped(path: str) -> np.ndarray | None:
+    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
-@cache
-def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its own) for every shard that occurs."""
+    order = np.argsort(shard, kind="stable")
+    held = shard[order]
+    cuts = np.flatnonzero(held[1:] != held[:-1]) + 1
+    for own in np.split(order, cuts) if len(held) else []:
+        yield int(shard[own[0]]), own
 
 
 @dataclass(frozen=True)
 class Words:
-    """The vocabulary: sorted hashes in ``shards`` ranges, whose first ids are ``base``."""
+    """The vocabulary: sorted hashes in ``shards`` ranges, whose first ids are in ``base.npy``; ``size + 1`` is an unknown word's id."""
 
     folder: str
     shards: int
-    base: tuple[int, ...]
     size: int
 
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(np.uint32 if self.size + 2 < 1 << 32 else np.uint64)
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, or NOBODY, and count of each token)."""
+        """(id and count of each token)."""
         some, back = np.unique(tokens, return_inverse=True)
-        ids, counts = np.full(len(some), NOBODY, np.uint32), np.zeros(len(some), np.int64)
-        shard = _hash_shard(some, self.shards).astype(np.int64)
-        cuts = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if a == b or self.base[s] == self.base[s + 1]:
-                continue
+        ids, counts = np.full(len(some), self.size + 1, self.kind), np.zeros(len(some), np.int64)
+        base = _mapped(f"{self.folder}/base.npy")
+        for s, own in _by_shard(_hash_shard(some, self.shards)):
             keys = _mapped(f"{self.folder}/vocabulary-{s}.npy")
-            at = np.minimum(np.searchsorted(keys, some[a:b]), len(keys) - 1)
-            hit = keys[at] == some[a:b]
-            ids[a:b][hit] = at[hit] + self.base[s]
-            counts[a:b][hit] = _mapped(f"{self.folder}/vocabularycount-{s}.npy")[at[hit]]
+            if keys is None or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, some[own]), len(keys) - 1)
+            hit = keys[at] == some[own]
+            ids[own[hit]] = at[hit] + base[s]
+            counts[own[hit]] = _mapped(f"{self.folder}/vocabularycount-{s}.npy")[at[hit]]
         return ids[back], counts[back]
 
 
@@ -266,40 +317,25 @@ def discounts(few: np.ndarray) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class Model:
+    """``discounts``: three for each order, the lowest first; ``single``: what the empty context has, as other contexts in their files."""
+
     words: Words
-    pair_shards: int
-    texts: int
+    order: int
+    shards: int
     tokens: int
-    #: discounts of pairs and of continuation counts, the number of pairs, and the words that follow 1, 2, 3+ contexts
-    high: tuple[float, float, float]
-    low: tuple[float, float, float]
-    pairs: int
-    following: tuple[int, int, int]
-
-    def _dense(self, kind: str, ids: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros((len(ids), width) if width > 1 else len(ids), np.int64)
-        for shard in np.unique(ids // RANGE).tolist():
-            path = f"{self.words.folder}/{kind}-{shard}.npy"
-            own = ids // RANGE == shard
-            if os.path.exists(path):
-                out[own] = _mapped(path)[ids[own] - shard * RANGE]
-        return out
-
-    def _pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        out = np.zeros(len(pairs), np.int64)
-        shard = _pair_shard(pairs, self.pair_shards)
-        for s in range(self.pair_shards):
-            own = np.flatnonzero(shard == s)
-            path = f"{self.words.folder}/pair-{s}.npy"
-            if not len(own) or not os.path.exists(path):
+    discounts: tuple[tuple[float, float, float], ...]
+    single: tuple[int, int, int, int]
+
+    def _find(self, name: str, values: str, hashes: np.ndarray, width: int = 1) -> np.ndarray:
+        """What the files hold for each of some distinct hashes; 0 where there is nothing."""
+        out = np.zeros((len(hashes), width), np.int64)
+        for s, own in _by_shard(hashes % np.uint64(self.shards)):
+            keys = _mapped(f"{self.words.folder}/{name}-{s}.npy")
+            if keys is None or not len(keys):
                 continue
-            keys = _mapped(path)
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, pairs[own]), len(keys) - 1)
-            hit = keys[at] == pairs[own]
-            out[own[hit]] = _mapped(f"{self.words.folder}/paircount-{s}.npy")[at[hit]]
+            at = np.minimum(np.searchsorted(keys, hashes[own]), len(keys) - 1)
+            hit = keys[at] == hashes[own]
+            out[own[hit]] = _mapped(f"{self.words.folder}/{values}-{s}.npy")[at[hit]].reshape(-1, width)
         return out
 
     def log10(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,100 +343,61 @@ class Model:
         ids, counts = self.words.look_up(tokens)
         size = self.words.size
         base = np.log10((counts + 1) / (self.tokens + size + 1))
-        # the lower order, from the number of contexts a word follows
-        known = ids != NOBODY
-        contexts = np.zeros(len(ids), np.int64)
-        some, back = np.unique(ids[known], return_inverse=True)
-        contexts[known] = self._dense("word", some.astype(np.int64), 1)[back]
-        if self.pairs:
-            off = np.array((0.0, *self.low))[np.minimum(contexts, 3)]
-            share = sum(d * n for d, n in zip(self.low, self.following)) / self.pairs
-            lower = np.maximum(contexts - off, 0) / self.pairs + share / (size + 1)
-        else:
-            lower = np.full(len(ids), 1.0 / (size + 1))
-        pairs = pairs_of(ids, sizes, size)
-        some, back = np.unique(pairs, return_inverse=True)
-        seen = self._pair_counts(some)
-        context = (some >> np.uint64(32)).astype(np.int64)
-        real = context != int(NOBODY)
-        spread = np.zeros((len(some), 3), np.int64)
-        total = np.zeros(len(some), np.int64)
-        own, at = np.unique(context[real], return_inverse=True)
-        spread[real] = self._dense("context", own, 3)[at]
-        # every pair of a context ends up in its three numbers' counts; its total is its own count, the start's the texts
-        total[real] = self._totals(own)[at]
-        open_ = total > 0
-        off = np.array((0.0, *self.high))[np.minimum(seen, 3)]
-        high, back_off = np.zeros(len(some)), np.ones(len(some))
-        high[open_] = np.maximum(seen - off, 0)[open_] / total[open_]
-        back_off[open_] = (spread[open_] @ np.array(self.high)) / total[open_]
-        return counts, base, np.log10(high[back] + back_off[back] * lower)
-
-    def _totals(self, ids: np.ndarray) -> np.ndarray:
-        """How often each id is a context."""
-        out = np.zeros(len(ids), np.int64)
-        base = np.array(self.words.base)
-        shard = np.searchsorted(base, ids, "right") - 1
-        for s in np.unique(shard[ids < self.words.size]).tolist():
-            own = (shard == s) & (ids < self.words.size)
-            out[own] = _mapped(f"{self.words.folder}/vocabularycount-{s}.npy")[ids[own] - base[s]]
-        out[ids == self.words.size] = self.texts
-        return out
-
-
-def train(docs: DataFrame, *, text: str = "text") -> Model:
+        columns = ngrams(ids, sizes, self.order, size)
+        p = np.full(len(ids), 1.0 / (size + 1))
+        for k in range(1, self.order + 1):
+            own = columns[self.order - k :]
+            some, back = np.unique(ngram_hash(own), return_inverse=True)
+            seen = self._find(f"ngram{k}", f"ngram{k}count", some)[back, 0]
+            if k == 1:
+                sums = np.broadcast_to(np.array(self.single, np.int64), (len(ids), 4))
+            else:
+                some, back = np.unique(ngram_hash(own[:-1]), return_inverse=True)
+                sums = self._find(f"context{k}", f"context{k}sums", some, 4)[back]
+            off = np.array(self.discounts[k - 1])
+            total = sums[:, 3]
+            high = np.maximum(seen - np.append(0.0, off)[np.minimum(seen, 3)], 0)
+            p = np.where(total > 0, (high + (sums[:, :3] @ off) * p) / np.maximum(total, 1), p)
+        return counts, base, np.log10(p)
+
+
+def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
     """Count the model over all rows of ``docs``."""
     spark = docs.sparkSession
     folder = f"{local_path(shared_dir(spark))}/kn-{uuid.uuid4().hex}"
     os.makedirs(folder)
-    whole = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
-    texts, size = whole["n"], whole["b"] or 0
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     # a word takes six bytes or so, and a word in ten is new to its task
-    shards, pair_shards = max(4, math.ceil(size / 60 / SHARD)), max(4, math.ceil(size / 9 / SHARD))
-    words = (
+    word_shards, shards = max(4, math.ceil(size / 60 / SHARD)), max(4, math.ceil(size / 9 / SHARD))
+    found = (
         docs.select(text)
-        .mapInArrow(_count_words(shards), _PACKED)
+        .mapInArrow(_count_words(word_shards), _PACKED)
         .groupBy("shard")
         .applyInArrow(_write_words(folder), "shard long, n long, total long")
         .collect()
     )
-    sizes = {r["shard"]: r["n"] for r in words}
-    base = tuple(np.cumsum([0, *(sizes.get(s, 0) for s in range(shards))]).tolist())
-    vocabulary = Words(folder, shards, base, base[-1])
-    packed = (
-        docs.select(text)
-        .mapInArrow(_count_pairs(vocabulary, pair_shards), _PACKED)
-        .groupBy("shard")
-        .applyInArrow(_write_pairs(folder), _PACKED)
-    )
-    stats = _summed(packed, folder, base[-1])
-    few = sum((np.frombuffer(r["few"], np.int64) for r in stats if r["kind"] == "stats"), np.zeros(6, np.int64))
-    low = sum((np.frombuffer(r["few"], np.int64) for r in stats if r["kind"] == "word"), np.zeros(6, np.int64))
+    sizes = np.zeros(word_shards, np.int64)
+    for row in found:
+        sizes[row["shard"]] = row["n"]
+    _save(f"{folder}/base.npy", np.concatenate(([0], np.cumsum(sizes))))
+    words = Words(folder, word_shards, int(sizes.sum()))
+    packed = docs.select(text).mapInArrow(_count_ngrams(words, order, shards), _PACKED)
+    for _ in range(order):
+        packed = packed.groupBy("kind", "shard").applyInArrow(_write(folder, order, shards, words.kind), _PACKED)
+    few = {k: np.zeros(7, np.int64) for k in range(1, order + 1)}
+    # the last contexts are written with the words, by the same step
+    for row in packed.where(F.col("kind").startswith("stats")).collect():
+        few[int(row["kind"][5:])] += np.frombuffer(row["block"], np.int64)
+    one = few[1]
     model = Model(
-        vocabulary, pair_shards, texts, sum(r["total"] for r in words), discounts(few), discounts(low),
-        int(few[1:].sum()), (int(low[1]), int(low[2]), int(low[3:].sum())),
+        words, order, shards, sum(r["total"] for r in found), tuple(discounts(few[k]) for k in range(1, order + 1)),
+        (int(one[1]), int(one[2]), int(one[3:6].sum()), int(one[6])),
     )
     with open(f"{folder}/model.json", "w") as out:
-        json.dump({"texts": texts, "tokens": model.tokens, "size": base[-1], "high": model.high, "low": model.low}, out)
+        json.dump({"order": order, "tokens": model.tokens, "size": words.size, "discounts": model.discounts}, out)
     return model
 
 
-def _summed(packed: DataFrame, folder: str, size: int) -> list:
-    """Sum what the shards of pairs pass on; a row of counts of counts for each group."""
-    sums = _write_sums(folder, size)
-
-    def of(key, table):
-        if key[0].as_py() == "stats":
-            return pa.table({"kind": ["stats"], "few": [_unpack_stats(table)]})
-        return sums(key, table)
-
-    return packed.groupBy("kind", "shard").applyInArrow(of, "kind string, few binary").collect()
-
-
-def _unpack_stats(table: pa.Table) -> bytes:
-    return sum(np.frombuffer(b, np.int64) for b in table.column("block").to_pylist()).tobytes()
-
-
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row: log10 probabilities of its text."""
 
@@ -408,7 +405,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "d
         for batch in batches:
             ids = batch.column(0)
             parts = [[], [], [], []]
-            for tokens, sizes in _token_slices([batch], 1):
+            for tokens, sizes in _token_slices([batch], 1, SLICE):
                 counts, base, high = model.log10(tokens, sizes)
                 first = np.cumsum(sizes) - sizes
                 parts[0].append(sizes)
@@ -422,7 +419,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "d
             )
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(of, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(frugal(of), schema)
 
 
 def with_perplexity(scored: DataFrame) -> DataFrame:
