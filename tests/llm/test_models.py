@@ -260,22 +260,74 @@ def test_url_models(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+class PlainMarkov:
+    """The definition, in dictionaries."""
+
+    def __init__(self, texts, order=U.ORDER):
+        self.order, self.next = order, collections.defaultdict(collections.Counter)
+        for text, weight in texts.items():
+            padded = U.START * order + text + U.STOP
+            for i in range(order, len(padded)):
+                for k in range(order + 1):
+                    self.next[padded[i - k : i]][padded[i]] += weight
+
+    def p(self, context, char):
+        value = 1 / (len(self.next[""]) + 1)
+        for k in range(len(context) + 1):
+            own = self.next.get(context[len(context) - k :])
+            if own:
+                value = (own[char] + len(own) * value) / (own.total() + len(own))
+        return value
+
+    def log(self, text):
+        padded = U.START * self.order + text + U.STOP
+        return sum(math.log(self.p(padded[i - self.order : i], padded[i])) for i in range(self.order, len(padded)))
+
+
 def test_markov_sums_to_one():
-    model = U.MarkovModel({"": {"a": 3, "b": 1, U.STOP: 2}, "a": {"b": 1, U.STOP: 2}, "ba": {U.STOP: 1}}, 2)
-    for context in ("", "a", "ba", "zz", "za"):
-        seen = sum(model.probability(context, c) for c in ("a", "b", U.STOP, "other"))
-        assert abs(seen - 1) < 1e-12
-
-
-def test_ngram_counts(spark):
-    got = {(r["context"], r["char"]): r["n"] for r in U.ngram_counts(spark.createDataFrame([("allow", "aba")], "label string, text string"), 2).collect()}
-    s, e = U.START, U.STOP
-    want = collections.Counter()
-    text = s * 2 + "aba" + e
-    for i in range(2, len(text)):
-        for k in range(3):
-            want[text[i - k : i], text[i]] += 1
-    assert got == dict(want)
+    plain = PlainMarkov({"ab": 3, "b": 1, "aab": 2}, 2)
+    model = U.MarkovModel(["ab", "b", "aab"], [3, 1, 2], 2)
+    for context in (U.START * 2, "ab", "ba", "zz", "za"):
+        points = np.frombuffer("".join(context + c for c in ["a", "b", U.STOP, "other"[0]]).encode("utf-32-le"), np.uint32)
+        got = model.probabilities(points, np.arange(2, len(points), 3))
+        assert abs(got.sum() - 1) < 1e-12
+        assert np.allclose(got, [plain.p(context, c) for c in ("a", "b", U.STOP, "o")], atol=1e-12)
+
+
+def test_query_by_brute_force(spark, tmp_path):
+    """The registered query on a small table: every score and verdict from dictionaries, the threshold by trying all."""
+    dice = random.Random(11)
+    urls = [None, "", "nothing", "http://x.org/É漢", "http://q.org/" + "long" * 4000]
+    for i in range(400):
+        word = "".join(dice.choice("abcdé") for _ in range(dice.randint(2, 9)))
+        urls.append(dice.choice([f"http://{word}.com/p/{i % 50}", f"http://s{word}.net/es/{word}", f"http://{word}.org/{i}", f"http://s{word}.org/es/{word}"]))
+    rows = [(i, u) for i, u in enumerate(urls + urls[50:90])]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in U.op4_url_markov(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    ruled = collections.defaultdict(collections.Counter)
+    for r in got.values():
+        if r["rule"]:
+            ruled[r["verdict"]][r["host"] + r["path"]] += 1
+    texts = [(t,) for own in ruled.values() for t in own]
+    hashed = {r["text"]: r["h"] for r in spark.createDataFrame(texts, "text string").withColumn("h", F.xxhash64("text", F.lit(U.SEED))).collect()}
+    train = {v: {t: n for t, n in own.items() if hashed[t] % 5} for v, own in ruled.items()}
+    held = {v: {t: n for t, n in own.items() if hashed[t] % 5 == 0} for v, own in ruled.items()}
+    allow, block = PlainMarkov(train["allow"]), PlainMarkov(train["block"])
+    score = lambda t: (allow.log(t) - block.log(t)) / (len(t) + 1)
+    free = [r for r in got.values() if not r["rule"]]
+    assert len(free) > 100
+    for r in free:
+        assert abs(r["score"] - score(r["host"] + r["path"])) < 1e-9
+    good, bad = ([(score(t), n) for t, n in held[v].items()] for v in ("allow", "block"))
+    balanced = lambda at: sum(n for s, n in good if s >= at) / sum(n for _, n in good) + sum(n for s, n in bad if s < at) / sum(n for _, n in bad)
+    values = sorted({s for s, _ in good + bad})
+    best = max(balanced(at) for at in [values[0] - 1, *[(a + b) / 2 for a, b in zip(values, values[1:])], values[-1] + 1])
+    low = max((r["score"] for r in free if r["verdict"] == "block"), default=-math.inf)
+    high = min((r["score"] for r in free if r["verdict"] == "allow"), default=math.inf)
+    assert low < high
+    model = U.fit(spark.createDataFrame([(v, t) for v, own in ruled.items() for t, n in own.items() for _ in range(n)], "label string, text string"))
+    assert low < model.threshold <= high and abs(balanced(model.threshold) - best) < 1e-12
 
 
 # --- transcripts ---

@@ -7,8 +7,9 @@ judged by the difference of its log-likelihoods per character against a threshol
 
 The models are fitted on a bounded sample of labelled URLs: the ``MAX_TRAINING`` distinct ones of each class with the smallest
 hashes, each weighing as many as its rows, a fifth of them held out for the threshold (none, if a class has no others).
-Their n-grams are counted in Spark; counts and model are of bounded size. Labelled URLs are aggregated once; every
-row is judged in place, and a frequent host costs what its rows cost.
+A model is two sorted arrays, of contexts and of contexts with a character, by 64-bit hashes; a slice of URLs is scored by one search
+for each length of context over its distinct n-grams. Labelled URLs are aggregated once; every row is judged in place, and a
+frequent host costs what its rows cost.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; then the empty text is judged; if either class
 has no URLs to train on, what no rule fits is allowed; rows are judged each by itself; columns named like the outputs are replaced.
@@ -16,8 +17,7 @@ has no URLs to train on, what no rule fits is allowed; rows are judged each by i
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower
+from tidemark.llm.texthash import _ODD, mix
 
 #: (verdict, host, path prefix); a list that fits into the plan, a thousand at most.
 RULES = (
@@ -58,74 +59,97 @@ def _longest(rules: Sequence[tuple[str, str, str]], host: Column, path: Column,
     return out
 
 
+def _characters(texts: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, start marks before each and a stop behind; places of what is to be predicted; how many each text has)."""
+    joined = "".join([START * order + t + STOP for t in texts])
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    text = np.repeat(np.arange(1, len(texts) + 1), size)
+    return points, np.arange(int(size.sum())) + order * text, size
+
+
+def _contexts(points: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Hashes of the contexts of 0 to ``order`` characters before each place, the shortest first."""
+    value = np.ones(len(at), np.uint64)
+    yield value
+    for size in range(1, order + 1):
+        value = mix(value * _ODD + points[at - size].astype(np.uint64))
+        yield value
+
+
+def _grams(context: np.ndarray, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with the character behind them."""
+    return mix(mix(context + _ODD) ^ points[at].astype(np.uint64))
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of keys, 0 where there is none; keys are sorted."""
+    if not len(keys):
+        return np.zeros((len(wanted), *values.shape[1:]), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit if values.ndim == 1 else hit[:, None], values[at], 0)
+
+
 class MarkovModel:
     """Counts of characters after contexts, and their interpolated probabilities."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], order: int = ORDER):
+    def __init__(self, texts: Sequence[str], weights: Sequence[int], order: int = ORDER):
         self.order = order
-        self.next = counts
-        self.sums = {c: (sum(n.values()), len(n)) for c, n in counts.items()}
-        self.uniform = 1.0 / (len(counts.get("", {})) + 1)
-        self.known: dict[tuple[str, str], float] = {}
-
-    def probability(self, context: str, char: str) -> float:
-        p = self.uniform
-        for size in range(len(context) + 1):
-            part = context[len(context) - size :]
-            sums = self.sums.get(part)
-            if sums is None:
-                break  # a longer context isn't known either
-            total, kinds = sums
-            p = (self.next[part].get(char, 0) + kinds * p) / (total + kinds)
+        points, at, size = _characters(texts, order)
+        weight = np.repeat(np.asarray(weights, np.int64), size)
+        grams, contexts = [], []
+        for context in _contexts(points, at, order):
+            grams.append(_grams(context, points, at))
+            contexts.append(context)
+        weight = np.tile(weight, order + 1)
+        gram, context = np.concatenate(grams), np.concatenate(contexts)
+        self.gram, one, back = np.unique(gram, return_index=True, return_inverse=True)
+        self.count = np.bincount(back, weights=weight, minlength=len(one)).astype(np.int64)
+        self.context, back = np.unique(context[one], return_inverse=True)
+        #: of each context the characters seen after it, all and distinct
+        self.sums = np.zeros((len(self.context), 2), np.int64)
+        np.add.at(self.sums[:, 0], back, self.count)
+        np.add.at(self.sums[:, 1], back, 1)
+        kinds = _found(self.context, self.sums, np.ones(1, np.uint64))[0, 1]
+        self.uniform = 1.0 / (kinds + 1)
+
+    def probabilities(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the character at each place, after what stands before it. A context longer than an unknown one is unknown too."""
+        p = np.full(len(at), self.uniform)
+        for context in _contexts(points, at, self.order):
+            total, kinds = _found(self.context, self.sums, context).T
+            seen = _found(self.gram, self.count, _grams(context, points, at))
+            p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
         return p
 
-    def log_likelihood(self, text: str) -> float:
-        padded = START * self.order + text + STOP
-        total = 0.0
-        for at in range(self.order, len(padded)):
-            key = (padded[at - self.order : at], padded[at])
-            value = self.known.get(key)
-            if value is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                value = self.known[key] = math.log(self.probability(*key))
-            total += value
-        return total
-
 
 class RatioModel:
     def __init__(self, accepted: MarkovModel, rejected: MarkovModel, threshold: float = 0.0):
         self.accepted, self.rejected, self.threshold = accepted, rejected, threshold
 
+    def scores(self, texts: Sequence[str], step: int = 4096) -> np.ndarray:
+        """Differences of the log-likelihoods, a character (with its stop)."""
+        out = [np.zeros(0)]
+        order = self.accepted.order
+        for begin in range(0, len(texts), step):
+            points, at, size = _characters(texts[begin : begin + step], order)
+            *_, context = _contexts(points, at, order)
+            _, one, back = np.unique(_grams(context, points, at), return_index=True, return_inverse=True)
+            some = at[one]
+            gain = np.log(self.accepted.probabilities(points, some)) - np.log(self.rejected.probabilities(points, some))
+            out.append(np.add.reduceat(gain[back], np.cumsum(size) - size) / size)
+        return np.concatenate(out)
+
     def score(self, text: str) -> float:
-        """Difference of the log-likelihoods, a character (with its stop)."""
-        return (self.accepted.log_likelihood(text) - self.rejected.log_likelihood(text)) / (len(text) + 1)
-
-
-def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``label, context, char, n`` of a ``label, text`` table, whose rows count ``weight`` times if it has that column."""
-    padded = F.concat(F.lit(START * order), "text", F.lit(STOP))
-    weight = F.col("weight") if "weight" in texts.columns else F.lit(1).cast("long").alias("weight")
-    return (
-        texts.select("label", weight, padded.alias("p"))
-        .select("label", "weight", "p", F.explode(F.sequence(F.lit(order), F.char_length("p") - 1)).alias("at"))
-        .select("label", "weight", "p", "at", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("size"))
-        .select(
-            "label",
-            "weight",
-            F.substring("p", F.col("at") - F.col("size") + 1, F.col("size")).alias("context"),
-            F.substring("p", F.col("at") + 1, F.lit(1)).alias("char"),
-        )
-        .groupBy("label", "context", "char")
-        .agg(F.sum("weight").alias("n"))
-    )
+        return float(self.scores([text])[0])
 
 
 def calibrate(model: RatioModel, accepted: dict[str, int], rejected: dict[str, int]) -> float:
     """The threshold with the best balanced accuracy, in the middle between the scores it separates; texts have weights."""
     if not accepted or not rejected:
         return 0.0
-    scores = np.array([model.score(t) for t in [*accepted, *rejected]])
+    scores = model.scores([*accepted, *rejected])
     weight = np.array([*accepted.values(), *rejected.values()], np.int64)
     good = np.arange(len(scores)) < len(accepted)
     order = np.argsort(scores, kind="stable")
@@ -144,27 +168,21 @@ def calibrate(model: RatioModel, accepted: dict[str, int], rejected: dict[str, i
 
 def fit(labelled: DataFrame, *, order: int = ORDER, most: int = MAX_TRAINING) -> RatioModel | None:
     """A model from ``label`` (allow, block) and ``text``; None if a class is missing."""
-    spark = labelled.sparkSession
     distinct = labelled.groupBy("label", "text").agg(F.count("*").alias("weight"))
-    train, held = [], {}
+    models, held = {}, {}
     for label in ("allow", "block"):
         one = distinct.where(F.col("label") == label).withColumn("h", F.xxhash64("text", F.lit(SEED)))
         rows = one.orderBy("h", "text").limit(most).collect()
         held[label] = {r["text"]: r["weight"] for r in rows if r["h"] % 5 == 0}
-        own = [(label, r["text"], r["weight"]) for r in rows if r["h"] % 5]
+        own = {r["text"]: r["weight"] for r in rows if r["h"] % 5}
         if not own:
-            own, held[label] = [(label, t, w) for t, w in held[label].items()], {}
-        train += own
-    if {label for label, *_ in train} != {"allow", "block"}:
+            own, held[label] = held[label], {}
+        if own:
+            models[label] = MarkovModel(list(own), list(own.values()), order)
+    if len(models) < 2:
         return None
-    sample = spark.createDataFrame(train, "label string, text string, weight long")
-    counts: dict[str, dict[str, dict[str, int]]] = {"allow": {}, "block": {}}
-    for row in ngram_counts(sample, order).toArrow().to_pylist():
-        counts[row["label"]].setdefault(row["context"], {})[row["char"]] = row["n"]
-    model = RatioModel(MarkovModel(counts["allow"], order), MarkovModel(counts["block"], order))
+    model = RatioModel(models["allow"], models["block"])
     model.threshold = calibrate(model, held["allow"], held["block"])
-    for one in (model.accepted, model.rejected):
-        one.known.clear()
     return model
 
 
@@ -195,8 +213,10 @@ def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RUL
 
         @F.arrow_udf("double")
         def score_of(texts: pa.Array) -> pa.Array:
-            judge = shared.value
-            return pa.array([None if t is None else judge.score(t) for t in texts.to_pylist()], pa.float64())
+            asked = texts.is_valid().to_numpy(zero_copy_only=False)
+            out = np.full(len(texts), np.nan)
+            out[asked] = shared.value.scores([t for t in texts.to_pylist() if t is not None])
+            return pa.array(out, pa.float64(), mask=~asked)
 
         score = score_of(F.when(F.col("__td_verdict").isNull(), F.col("__td_text")))
         verdict = F.when(F.col("__td_score") >= F.lit(model.threshold), "allow").otherwise("block")
