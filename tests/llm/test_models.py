@@ -41,7 +41,7 @@ def labelled_corpus(spark):
 
 def test_resampling_keeps_clean_and_rejects_junk(spark):
     docs, labels = labelled_corpus(spark)
-    rows = W.resample(docs, labels)[0].collect()
+    rows = W.resample(docs, labels, weight="tempered")[0].collect()
     judged = {r["id"]: r["kept"] for r in rows}
     assert sum(judged[i] for i in range(400) if i % 5) >= 0.95 * 320 and sum(judged[i] for i in range(0, 400, 5)) <= 8
     k = sum(judged.values())
@@ -51,16 +51,50 @@ def test_resampling_keeps_clean_and_rejects_junk(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, v in judged.items() if v}
 
 
-def test_resampling_weights_by_brute_force(spark):
+@pytest.mark.parametrize("weight", W.WEIGHTS)
+def test_resampling_by_brute_force(spark, weight):
+    """Both models, every weight, the calibration and the draw, from dictionaries."""
     docs, labels = labelled_corpus(spark)
-    model = W.fit(docs, labels)
-    for r in docs.limit(5).collect():
-        (bucket, _, _), = list(W.ngram_buckets(pa.array([r["text"]])))
-        n = len(words(r["text"]))
-        assert len(bucket) == 2 * n - 1
-        got = W.resample(docs.where(F.col("doc_id") == r["doc_id"]), labels, k=1)[0].first()
-        assert got["n_ngrams"] == 2 * n - 1 and got["kept"]
-    assert model.least is not None and model.ratio.shape == (W.BUCKETS,)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    buckets = {i: collections.Counter(np.concatenate([b for b, _, _ in W.ngram_buckets(pa.array([t]))]).tolist()) for i, t in rows.items()}
+    assert all(c.total() == 2 * len(words(rows[i])) - 1 for i, c in buckets.items())
+    chosen, held = (set(x.tolist()) for x in W.labelled_targets(labels))
+    assert chosen | held == {i for i in rows if i % 2 == 0 and i % 5} and held
+    raw, own = collections.Counter(), collections.Counter()
+    for i, c in buckets.items():
+        raw += c
+        own += c if i in chosen else collections.Counter()
+    n_raw, n_own = raw.total(), own.total()
+    p_raw = {b: (n + W.SMOOTHING / W.BUCKETS) / (n_raw + W.SMOOTHING) for b, n in raw.items()}
+    ratio = {b: math.log((own[b] + W.SMOOTHING * p * W.BUCKETS) / (n_own + W.SMOOTHING * W.BUCKETS)) - math.log(p) for b, p in p_raw.items()}
+    total = {i: sum(n * ratio[b] for b, n in c.items()) for i, c in buckets.items()}
+    draw = {i: t if weight == "summed" else W.SHARPNESS * t / (buckets[i].total() + W.PRIOR) for i, t in total.items()}
+    got = {r["id"]: r for r in W.resample(docs, labels, weight=weight)[0].collect()}
+    assert set(got) == set(rows)
+    for i, r in got.items():
+        assert r["n_ngrams"] == buckets[i].total() and abs(r["log_weight"] - total[i]) < 1e-3 * (1 + abs(total[i]))
+        assert abs(r["draw_weight"] - draw[i]) < 1e-3 * (1 + abs(draw[i]))
+    reached = np.array([got[i]["draw_weight"] for i in held])
+    least = min(np.quantile(reached, W.LOSS), reached.mean() - 2.575829303548901 * reached.std())
+    assert abs(W.least_weight(np.arange(1000.0)) - 4.995) < 1e-9
+    k = sum(r["draw_weight"] >= least for r in got.values())
+    noise = {r["id"]: r["h"] for r in spark.createDataFrame([(i,) for i in rows], "id long").withColumn("h", F.xxhash64("id", F.lit(W.SEED))).collect()}
+    keys = {i: r["draw_weight"] - math.log(-math.log((((noise[i] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53))) for i, r in got.items()}
+    assert all(abs(r["gumbel_key"] - keys[i] * 1e6) <= 2 for i, r in got.items())
+    last = sorted((r["gumbel_key"] for r in got.values()), reverse=True)[k - 1]
+    assert all(r["kept"] == (r["gumbel_key"] >= last) for r in got.values())
+    with pytest.raises(ValueError):
+        W.resample(docs, labels, weight="other")
+
+
+def test_resampling_query(spark, tmp_path):
+    docs, labels = labelled_corpus(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = W.op2_importance_resampling(spark, str(tmp_path)).collect()
+    want = W.resample(docs, labels, weight="tempered")[0].collect()
+    cells = lambda rows, key, unit: sorted((r[key], r["n_ngrams"], r["log_weight"], round(r["gumbel_key"] * unit), r["kept"]) for r in rows)
+    assert cells(got, "doc_id", 1e6) == cells(want, "id", 1)
 
 
 def test_resampling_edges(spark):
@@ -203,6 +237,79 @@ def test_imatch(spark):
     assert single["near_next"] == 1.0
 
 
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def test_imatch_query_by_brute_force(spark, tmp_path):
+    """The registered query: lexicon, every fingerprint and every likeness again in plain integers."""
+    dice = random.Random(14)
+    vocabulary = [f"t{i}" for i in range(900)]
+    rows = [(i, prose(dice, vocabulary[: dice.choice([30, 900])], dice.randint(1, 200)), "en", "s", 0) for i in range(0, 240, 2)]
+    rows += [(301, rows[7][1], "en", "s", 0), (302, None, "en", "s", 0), (303, "", "en", "s", 0), (304, "É漢 😀 x", "en", "s", 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(i, t or "") for i, t, *_ in sorted(rows)]
+    word_hash = lambda w: int(next(I.word_hashes(pa.array([w])))[0][0])
+    known: dict = {}
+    terms = lambda t: sorted({known.setdefault(w, word_hash(w)) for w in words(lower(t))})
+    frequency = collections.Counter(b for _, t in texts for b in {h % I.BUCKETS for h in terms(t)})
+    low, high = max(2.0, I.LOW_SHARE * len(texts)), max(2.0, I.HIGH_SHARE * len(texts))
+    band = {b for b, n in frequency.items() if low <= n <= high}
+
+    def mark(text):
+        every = terms(text)
+        held = [h for h in every if h % I.BUCKETS in band]
+        held = held if len(held) >= I.FEW else every
+        if not held:
+            return [max(int.from_bytes(hashlib.sha256(text.encode()).digest()[:2], "big"), 1)] * (I.LEVELS * I.SUBSETS)
+        out = []
+        for k in range(I.LEVELS * I.SUBSETS):
+            salt = plain_mix((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            drawn = [d for d in (plain_mix(h ^ salt) for h in held) if d % 4 ** (k // I.SUBSETS) == 0]
+            out.append(max(sum(drawn) % 2**64 >> 48, 1) if drawn else 0)
+        return out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        share = 0.0
+        for level in range(I.LEVELS):
+            pairs = [(x, y) for x, y in list(zip(a, b))[level * I.SUBSETS : (level + 1) * I.SUBSETS] if x or y]
+            if not pairs:
+                return share
+            share = sum(x == y for x, y in pairs) / len(pairs)
+            if len(pairs) <= I.FULL * I.SUBSETS:
+                return share
+        return share
+
+    hexed = lambda m: "".join(f"{x:04x}" for x in m)
+    want = []
+    for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1]):
+        n = len(t) // 4
+        changed = t[: len(t) - n] + after[:n]
+        a, b, e = mark(t), mark(after), mark(changed)
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), hexed(a), hexed(e), like(a, e), like(a, b)))
+    got = sorted(map(tuple, I.op9_imatch(spark, str(tmp_path)).collect()))
+    assert got == want
+
+
+def test_equal_rows_are_split_and_chained(spark):
+    """One row many times: its copies fall into several ranges, and each is the next of another."""
+    rows = [(1, "first of all", "en", "s", 0)] + [(2, "the same text again", "en", "s", 0)] * 400 + [(3, "last of all", "en", "s", 0)]
+    docs = frame(spark, rows).repartition(8)
+    got = I.neighbours(docs, np.zeros(I.BUCKETS // 8, np.uint8)).collect()
+    follow = collections.Counter((r["id"], r["edited_sha256"]) for r in got)
+    sha = lambda a, b: hashlib.sha256(I.edited(a, b).encode()).hexdigest()
+    same = rows[1][1]
+    assert follow == {
+        (1, sha("first of all", same)): 1, (2, sha(same, same)): 399, (2, sha(same, "last of all")): 1, (3, sha("last of all", "first of all")): 1
+    }
+
+
 def test_imatch_lexicon_is_the_band(spark):
     rows = [(i, f"Common every{i % 2} only{i}", "en", "s", 0) for i in range(20)]
     bits = np.unpackbits(I.lexicon(frame(spark, rows), low=0.2, high=0.6), bitorder="little")

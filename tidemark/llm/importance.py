@@ -2,10 +2,11 @@
 
 Two bags of hashed n-grams (words and pairs of neighbouring words, ``BUCKETS`` buckets) are counted: one over the
 target documents, one over all documents. A document's log importance weight is the sum over its
-n-grams of log p(target) - log p(raw); divided by its n-grams (plus a prior that holds short texts near 0) and
-multiplied by ``SHARPNESS`` it is the log weight by which documents are drawn without replacement: add Gumbel noise
-and keep the k largest. k is how many documents reach the value that all but ``LOSS`` of the held-out
-target documents reach, so clean text stays.
+n-grams of log p(target) - log p(raw), by which documents are drawn without replacement: add Gumbel noise
+and keep the k largest. With ``weight="tempered"``, a named option that the query and the pipeline take, the sum is divided by
+the n-grams (plus a prior that holds short texts near 0) and multiplied by ``SHARPNESS``: else length decides
+more than quality, as a long clean text's sum lies far below a short one's. k is how many documents reach the weight that all
+but ``LOSS`` of the held-out target documents reach, so clean text stays.
 
 The target model is fitted on a bounded sample of labelled documents: ``MAX_LABELLED`` ids with the smallest hashes, a
 fifth of them held out. The raw model, the scores and the selection cover all rows. What leaves the executors is of fixed size: the
@@ -19,6 +20,7 @@ text; keys that tie with the k-th (to a millionth) are kept with it; names start
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +113,9 @@ def _scorer(ratio: np.ndarray):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int = BUCKETS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int = BUCKETS, weight: str = "summed"
+) -> Model:
     """Counts both models and calibrates ``least`` on the held-out target documents."""
     chosen, held = labelled_targets(labels)
     if not len(chosen):
@@ -134,18 +138,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int
     few = docs.sparkSession.createDataFrame(pa.table({"__td_held": pa.array(held, pa.int64())}))
     # bounded: at most MAX_LABELLED ids
     checked = docs.join(F.broadcast(few), id_column(docs) == F.col("__td_held"), "left_semi")
-    values = checked.select(mean_ratio(_scorer(ratio)(F.col(text))).alias("v")).toArrow().column("v").to_numpy()
-    return Model(ratio, float(np.quantile(values, LOSS)) if len(values) else None)
+    values = checked.select(log_weight(_scorer(ratio)(F.col(text)), weight).alias("v")).toArrow().column("v").to_numpy()
+    return Model(ratio, least_weight(values) if len(values) else None)
 
 
-def mean_ratio(scored: Column) -> Column:
-    return scored["s"] / (scored["n"] + F.lit(PRIOR))
+def least_weight(values: np.ndarray) -> float:
+    """What all but ``LOSS`` of the held-out targets reach. Too few of them to show that share tell it by mean and spread."""
+    least = float(np.quantile(values, LOSS))
+    if len(values) * LOSS >= 1:
+        return least
+    return min(least, float(values.mean() + NormalDist().inv_cdf(LOSS) * values.std()))
 
 
-def gumbel_key(mean: Column, identity: Column) -> Column:
-    """The key of the draw, in millionths: sharpened mean and Gumbel noise from a hash of the id."""
+WEIGHTS = ("summed", "tempered")
+
+
+def log_weight(scored: Column, weight: str = "summed") -> Column:
+    """The log weight of the draw: the sum of the log ratios, or their sharpened mean."""
+    if weight not in WEIGHTS:
+        raise ValueError(f"{weight} is none of {WEIGHTS}")
+    return scored["s"] if weight == "summed" else SHARPNESS * scored["s"] / (scored["n"] + F.lit(PRIOR))
+
+
+def gumbel_key(log_weight: Column, identity: Column) -> Column:
+    """The key of the draw, in millionths: the log weight and Gumbel noise from a hash of the id."""
     uniform = (F.shiftrightunsigned(F.xxhash64(identity, F.lit(SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.round((mean * SHARPNESS - F.log(-F.log(uniform))) * 1e6).cast("long")
+    return F.round((log_weight - F.log(-F.log(uniform))) * 1e6).cast("long")
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
@@ -172,21 +190,23 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", k: int | None = None):
-    """(scored: id, n_ngrams, log_weight, mean_ratio, gumbel_key, kept; what filters rows of ``docs``).
+def resample(
+    docs: DataFrame, labels: DataFrame, *, text: str = "text", k: int | None = None, weight: str = "summed"
+):
+    """(scored: id, n_ngrams, log_weight, draw_weight, gumbel_key, kept; what filters rows of ``docs``).
 
-    ``k`` overrides the calibrated number of documents.
+    ``k`` overrides the calibrated number of documents; ``draw_weight`` is the log weight of the draw.
     """
-    model = fit(docs, labels, text=text)
+    model = fit(docs, labels, text=text, weight=weight)
     score = _scorer(model.ratio)(F.col(text))
     scored = cut(
         docs.select(id_column(docs).alias("id"), score.alias("x"))
-        .select("id", F.col("x.n").alias("n_ngrams"), F.col("x.s").alias("log_weight"), mean_ratio(F.col("x")).alias("mean_ratio"))
-        .withColumn("gumbel_key", gumbel_key(F.col("mean_ratio"), F.col("id"))),
+        .select("id", F.col("x.n").alias("n_ngrams"), F.col("x.s").alias("log_weight"), log_weight(F.col("x"), weight).alias("draw_weight"))
+        .withColumn("gumbel_key", gumbel_key(F.col("draw_weight"), F.col("id"))),
         "importance",
     )
     if k is None and model.least is not None:
-        k = scored.where(F.col("mean_ratio") >= F.lit(model.least)).count()
+        k = scored.where(F.col("draw_weight") >= F.lit(model.least)).count()
     least = None if k is None else kth_largest(scored, "gumbel_key", k)
     if k is not None and k <= 0:
         verdict = lambda key: F.lit(False)
@@ -194,13 +214,13 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", k: int |
         verdict = lambda key: F.lit(True)
     else:
         verdict = lambda key: key >= F.lit(least)
-    keeps = verdict(gumbel_key(mean_ratio(score), id_column(docs)))
+    keeps = verdict(gumbel_key(log_weight(score, weight), id_column(docs)))
     return scored.withColumn("kept", verdict(F.col("gumbel_key"))), keeps
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, *, text: str = "text", weight: str = "tempered") -> DataFrame:
     """The rows of ``docs`` that the draw keeps, in all their columns."""
-    _, keeps = resample(docs, labels, text=text)
+    _, keeps = resample(docs, labels, text=text, weight=weight)
     return docs.withColumn("__td_keeps", keeps).where("__td_keeps").drop("__td_keeps")
 
 
@@ -208,8 +228,8 @@ def op2_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """Importance weight, key and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored, _ = resample(docs, labels)
+    scored, _ = resample(docs, labels, weight="tempered")
     return scored.select(
-        restored(F.col("id")).alias("doc_id"), "n_ngrams", "log_weight", "mean_ratio",
+        restored(F.col("id")).alias("doc_id"), "n_ngrams", "log_weight", "draw_weight",
         (F.col("gumbel_key") / 1e6).alias("gumbel_key"), "kept",
     )
