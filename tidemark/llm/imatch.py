@@ -87,7 +87,7 @@ def fingerprint(terms: np.ndarray, bitmap: np.ndarray, empty: int) -> np.ndarray
     if len(held) < FEW:
         held = terms
     if not len(held):
-        return np.full(LEVELS * SUBSETS, empty >> 48 | 1, np.uint16)
+        return np.full(LEVELS * SUBSETS, max(empty >> 48, 1), np.uint16)
     out = np.zeros(LEVELS * SUBSETS, np.uint16)
     for level in range(LEVELS):
         own = slice(level * SUBSETS, (level + 1) * SUBSETS)
@@ -96,8 +96,8 @@ def fingerprint(terms: np.ndarray, bitmap: np.ndarray, empty: int) -> np.ndarray
         inside = drawn & np.uint64((1 << (2 * level)) - 1) == 0
         total = (drawn * inside).sum(axis=0, dtype=np.uint64)
         # 16 bits of each hash, never 0 for a subset in use
-        marks = (total >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-        out[own] = np.where(inside.any(axis=0), marks, np.uint16(0))
+        marks = np.maximum((total >> np.uint64(48)).astype(np.uint16), 1)
+        out[own] = np.where(inside.any(axis=0), marks, 0)
     return out
 
 
@@ -125,7 +125,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _fingerprints(texts: list[str], bitmap: np.ndarray) -> list[np.ndarray]:
-    empty = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") | 1 for t in texts]
+    empty = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in texts]
     return [fingerprint(t, bitmap, e) for t, e in zip(_document_terms(pa.array(texts, pa.large_string())), empty)]
 
 
@@ -196,20 +196,21 @@ def _squeezed(batches):
     for batch in batches:
         packed = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["id", "packed", "tie"]
+            [batch.column(0), pa.array(packed, pa.binary()), batch.column(2), batch.column(3)],
+            names=["id", "packed", "tie", "salt"],
         )
 
 
 def neighbours(docs: DataFrame, bitmap: np.ndarray, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every row's fingerprint, edited fingerprint and likenesses, by ascending id."""
-    keyed = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("t")).withColumn(
-        "tie", F.xxhash64(F.coalesce("t", F.lit("")))
+    # rows equal in id and text may stand in any order: their places in the input let ranges split them
+    keyed = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("t")).select(
+        "id", "t", F.xxhash64(F.coalesce("t", F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("salt")
     )
-    packed = keyed.mapInArrow(frugal(_squeezed), "id long, packed binary, tie long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = keyed.mapInArrow(frugal(_squeezed), "id long, packed binary, tie long, salt long")
     ranged = (
-        packed.repartitionByRange(parts, "id", "tie")
-        .sortWithinPartitions("id", "tie")
+        packed.repartitionByRange("id", "tie", "salt")
+        .sortWithinPartitions("id", "tie", "salt")
         .select("id", "packed", F.spark_partition_id().alias("part"))
     )
     found = cut(ranged.mapInArrow(frugal(_chained(bitmap)), f"{_SCHEMA}, side int, part int, packed binary"), "imatch")
