@@ -489,6 +489,40 @@ def test_roles_are_recovered(spark, monkeypatch, chunk):
     assert one["rendered"].startswith(f"<|{one['role']}|>\nc{one['conv_id']}t{one['turn']} ") and one["rendered"].endswith("\n<|end|>")
 
 
+def test_crowded_turns_are_cut(spark, monkeypatch):
+    """Hundreds of segments under one number, or none: cut into small chunks, the path is that of one pass."""
+    dice = random.Random(13)
+    rows = [(1, t, t2) for t, n in ((None, 90), (0, 1), (3, 70), (4, 2), (9, 5), (600, 3)) for t2 in range(n)]
+    texts = [(c, t, dice.choice(["User: ", "Assistant: ", ""]) + f"{t} {k} " + prose(dice, ["alpha", "beta"], dice.randint(1, 40))) for c, t, k in rows]
+    texts += [(2, t, f"Human: again {t}") for t in range(20)]
+    raw = spark.createDataFrame(texts, "conv_id long, turn int, text string")
+    hmm = H.learn(H.as_transcripts(talk(spark)))
+    whole = {tuple(r) for r in H.parse_transcripts(raw, hmm).collect()}
+    monkeypatch.setattr(H, "CHUNK", 16)
+    segments = H.with_observation(H._keyed(raw, "conv_id", "turn", "text"), "text", "observed").select(
+        F.col("__td_conv").alias("conv"), F.col("__td_lone").alias("lone"), F.col("__td_turn").alias("turn"), F.col("__td_tie").alias("tie"), "observed"
+    )
+    chunks = collections.defaultdict(list)
+    for r in H._chunked(segments).collect():
+        chunks[r["conv"], tuple(r["chunk"])].append((-1 if r["turn"] is None else r["turn"], r["tie"]))
+    own = [sorted(chunks[k]) for k in sorted(k for k in chunks if k[0] == 1)]
+    assert [x for c in own for x in c] == sorted(x for c in own for x in c) and len(own) > 10
+    assert max(len(c) for c in own) <= 40
+    assert {tuple(r) for r in H.parse_transcripts(raw, hmm).collect()} == whole
+
+
+def test_transcript_query(spark, tmp_path):
+    """Roles of conversations that the model hasn't seen; rows, null conversations and repeated rows all come back."""
+    said = talk(spark)
+    extra = spark.createDataFrame([(None, 0, "user", "alone"), (7, None, None, None), (3, 1, "user", "")], said.schema)
+    said.union(extra).union(said.limit(2)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = H.op6_transcript_hmm(spark, str(tmp_path)).collect()
+    truth = {(r["conv_id"], r["turn"], r["text"][:6]): r["role"] for r in said.collect()}
+    assert len(got) == said.count() + 5 and all(r["role"] in H.ROLES for r in got)
+    right = [truth.get((r["conv_id"], r["turn"], r["rendered"].split("\n")[1][:6])) for r in got]
+    assert sum(w == r["role"] for w, r in zip(right, got)) >= 0.97 * len(got)
+
+
 def test_transcript_edges(spark):
     hmm = H.learn(H.as_transcripts(talk(spark)))
     schema = "conv_id long, turn int, text string, rendered string"

@@ -8,9 +8,12 @@ roles; markers are stripped and every segment is rendered as a canonical turn.
 
 Viterbi is a product of (max, +) matrices, so a conversation of any length is cut into chunks of ``CHUNK`` turns: each chunk is
 reduced to its matrix, the matrices of a conversation (a few numbers a chunk) give the states at the borders, and each
-chunk's path is traced between them. Equal to one pass over the whole, without a conversation in one task. Only
+chunk's path is traced between them. Equal to one pass over the whole, without a conversation in one task. Where a turn's number
+is null or stands in more than ``CHUNK`` segments, these are cut by ranges of their text's hash, which orders them. Only
 observations move for this; texts meet their roles in one join.
 
+The query learns from one half of the conversations what it reports of the other, so no role is judged by itself.
+
 Defined results: turns are ordered by number, nulls first, then by a hash of the text; rows that repeat conversation, turn and
 text are one segment and get the same role; rows without a conversation are each a conversation of their own; a null
 text is empty; ties between paths go to the first of system, user, assistant; an empty table gives none.
@@ -19,6 +22,8 @@ text is empty; ties between paths go to the first of system, user, assistant; an
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -204,10 +209,29 @@ def _paths(hmm: Hmm):
     return of
 
 
+def _chunked(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``chunk``, in the order of turns: a block of ``CHUNK`` numbers, or ranges of ties in a block with a crowded one."""
+    placed = segments.withColumn("block", F.floor(F.col("turn") / CHUNK).cast("long"))
+    same = lambda *names: reduce(and_, [F.col(f"s.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names])
+    place = ("conv", "lone", "block")
+    sizes = cut(placed.groupBy(*place, "turn").agg(F.count("*").alias("n")), "transcript-turns")
+    crowded = sizes.where(F.col("n") > CHUNK).select(*place).distinct()
+    own = sizes.alias("s").join(crowded.alias("c"), same(*place), "left_semi").select(
+        *place, "turn", F.ceil(F.col("n") / CHUNK).alias("parts")
+    )
+    share = F.floor((F.col("s.tie") / F.lit(2.0**64) + F.lit(0.5)) * F.col("c.parts"))
+    none = F.lit(-(2**62)).cast("long")
+    first = F.coalesce(F.when(F.col("c.parts").isNull(), F.col("s.block") * CHUNK).otherwise(F.col("s.turn")), none)
+    part = F.coalesce(F.least(share, F.col("c.parts") - 1), F.lit(0))
+    return placed.alias("s").join(own.alias("c"), same(*place, "turn"), "left").select(
+        *[F.col(f"s.{c}").alias(c) for c in segments.columns],
+        F.struct(first.cast("long").alias("first"), part.cast("long").alias("part")).alias("chunk"),
+    )
+
+
 def decode(segments: DataFrame, hmm: Hmm) -> DataFrame:
     """``conv, lone, turn, tie, role``: the best path of every conversation; see the module for chunks."""
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**62))).cast("long")
-    chunks = segments.groupBy("conv", "lone", chunk.alias("chunk")).agg(
+    chunks = _chunked(segments).groupBy("conv", "lone", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("turn", "tie", "observed"))).alias("rows")
     )
     chunks = cut(chunks, "transcript-chunks")
@@ -318,5 +342,6 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 def op6_transcript_hmm(spark, sf_dir: str) -> DataFrame:
     """Recovered role and canonical turn of every segment of the conversations written as transcripts."""
     raw = as_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    parsed = parse_transcripts(raw.drop("role"), learn(raw))
-    return parsed.select("conv_id", "turn", "role", "rendered")
+    half = F.pmod(F.xxhash64("conv_id", F.lit(SEED + 1)), F.lit(2))
+    parsed = [parse_transcripts(raw.where(half == k).drop("role"), learn(raw.where(half != k))) for k in (0, 1)]
+    return parsed[0].unionByName(parsed[1]).select("conv_id", "turn", "role", "rendered")
