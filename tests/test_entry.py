@@ -30,6 +30,28 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
+def test_an_import_error_of_the_subpackage_is_no_error(tmp_path):
+    """A library that the subpackage needs isn't there: the ledger's queries still are, and standard error says why."""
+    shutil.copytree(REPO / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "tidemark" / "llm").mkdir()
+    (tmp_path / "tidemark" / "llm" / "queries.py").write_text("import no_such_library\n")
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'ledger_events' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120, capture_output=True, text=True)
+    assert "no_such_library" in done.stderr
+
+
+def test_shared_folder(spark):
+    from tidemark.shared import mounted, shared_dir
+
+    top = spark.conf.get("spark.checkpoint.dir")
+    assert mounted(shared_dir(spark)).startswith(f"{top}/tidemark-") and os.path.isdir(mounted(shared_dir(spark)))
+    assert mounted("file:///a/b") == mounted("file:/a/b") == "/a/b"
+    with pytest.raises(ValueError, match="mounted"):
+        mounted("hdfs://x/y")
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (REPO / "tidemark").rglob("*.py"):
         if "llm" not in path.relative_to(REPO).parts:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from tidemark.operators.windows import due, refreshed, touched
 from tidemark.plans import invariants
 from tidemark.plans.ledger import LEDGER_SQL, Ledger
 from tidemark.schema import MONEY
+from tidemark.shared import mounted, shared_dir
 from tidemark.sources.feed import WINDOW_SECONDS, feed
 from tidemark.sources.wire import encode, parse
 
@@ -253,15 +253,8 @@ def stream_file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work_folder(spark: SparkSession) -> str:
-    """A folder in the shared one that the session names; one of our own only where it names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="ledger-")
-    folder = shared.removeprefix("file://") if shared.startswith("file://") else shared.removeprefix("file:")
-    if "://" in folder:
-        raise ValueError(f"the replay writes its arrivals as plain files: spark.checkpoint.dir must be a mounted folder, not {shared}")
-    os.makedirs(folder, exist_ok=True)
-    return tempfile.mkdtemp(prefix="ledger-", dir=folder)
+    """A folder of its own in the shared one."""
+    return tempfile.mkdtemp(prefix="ledger-", dir=mounted(shared_dir(spark)))
 
 
 # --- reads ---
