@@ -202,10 +202,10 @@ def test_kneser_ney_on_nothing(spark):
     assert K.score(frame(spark, []), model).count() == 0
 
 
-def test_model_needs_a_mounted_folder():
+def test_model_needs_a_mounted_folder(spark, monkeypatch):
+    monkeypatch.setattr(K, "shared_dir", lambda spark: "hdfs://x/y")
     with pytest.raises(ValueError, match="mounted"):
-        K.local_path("hdfs://x/y")
-    assert K.local_path("file:///a/b") == "/a/b"
+        K.train(frame(spark, ODD))
 
 
 # --- I-Match ---

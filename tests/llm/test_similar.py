@@ -57,7 +57,7 @@ def test_pairs_of_the_least_similarity_meet():
             bits = np.unpackbits(raw.view(np.uint8).reshape(len(sets), -1), axis=1, bitorder="little")
             apart = bits[::2] != bits[1::2]
             tables = apart[:, : how.bits * how.tables].reshape(-1, how.tables, how.bits).sum(axis=2)
-            near = apart[:, -S.CHECK_BITS :].sum(axis=1) <= S.CHECK_NEAR
+            near = apart[:, -S.CHECK_BITS :].sum(axis=1) <= (S.CHECK_FEW if sizes.min() < S.FEW else S.CHECK_NEAR)
             assert ((tables <= S.RADIUS).any(axis=1) & near).mean() >= (0.995 if common > 4 else 0.98), (n_docs, common, alone)
 
 
@@ -77,17 +77,17 @@ def test_votes_and_sets():
 def test_leaders_leave_no_near_member_out():
     """Every member of a bucket that doesn't lead is linked to a leader, in steps as at once."""
     rng = np.random.default_rng(8)
-    centre = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+    centre = rng.integers(0, 1 << 63, (5, S.CHECK_BITS // 64), dtype=np.uint64)
     entries = np.empty(400, S._ENTRY)
     which = rng.integers(0, 5, 400)
-    noise = np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
-    entries["key"] = rng.integers(0, 4, 400)
-    entries["high"], entries["low"] = centre[which] ^ noise, rng.integers(0, 1 << 32, 5).astype(np.uint32)[which]
+    noise = np.uint64(1) << rng.integers(0, 64, (400, S.CHECK_BITS // 64)).astype(np.uint64)
+    entries["key"], entries["size"] = rng.integers(0, 4, 400), 50
+    entries["check"] = centre[which] ^ noise
     entries["node"] = rng.permutation(400)
     for step in (7, 100, 10_000):
         S.STEP, before = step, S.STEP
         try:
-            block = pa.table({"block": pa.array([entries.tobytes()], pa.binary())})
+            block = pa.table({"shard": [3], "block": pa.array([entries.tobytes()], pa.binary())})
             links = S._meet(2)(block).to_pydict()
         finally:
             S.STEP = before

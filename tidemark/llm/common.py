@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, cutting lineage, ASCII words and case."""
+"""What the operators share: cutting lineage, ASCII words and case, ids, memory of workers."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import shared_dir
+
 #: Java and RE2 class of the separators ``[\x20\x09-\x0D]``.
 SPACE = r"[ \t-\r]"
 #: The same characters as a string.
@@ -23,18 +25,9 @@ NO_ID = -(2**63)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tidemark-")
-        shared_dir.own = where
-    return where
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` computed once: written as a Parquet table in the shared folder and read again, so that a lost
-    executor costs a read and later reads prune columns."""
+    executor costs a read and later reads prune columns. The folder goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

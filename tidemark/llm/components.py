@@ -8,12 +8,17 @@ one number a round.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
+#: Edges that one file of a round holds, about; rounds over few edges write few files.
+EDGES = 1_000_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for every node of the edge list that isn't its own root; the root is the smallest node."""
@@ -51,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m"))
         .distinct()
     )
-    mark = None
+    mark, files = None, max(1, math.ceil(now.count() / EDGES))
     while True:
         # large-star: every larger neighbour of u is linked to the smallest of u's neighbourhood
         both = now.union(now.select("m", "u"))
@@ -71,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> m")
             .distinct()
         )
-        now = cut(small)
+        now = cut(small.coalesce(files))
         # a star forest that a round leaves as it is is the answer
         seen = now.agg(
             F.count("*").alias("n"),

@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frugal, shared_dir
+from tidemark.llm.common import frugal
 from tidemark.llm.texthash import _ODD, mix, word_hashes
+from tidemark.shared import mounted, shared_dir
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0xE17A1B2C3D4E5F60)
@@ -52,13 +53,6 @@ SHARD = 2_000_000
 MAPPED = 128
 
 
-def local_path(uri: str) -> str:
-    path = uri.removeprefix("file://") if uri.startswith("file://") else uri.removeprefix("file:")
-    if "://" in path:
-        raise ValueError(f"the model's files must be mapped: spark.checkpoint.dir must be a mounted folder, not {uri}")
-    return path
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
@@ -364,7 +358,7 @@ class Model:
 def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
     """Count the model over all rows of ``docs``."""
     spark = docs.sparkSession
-    folder = f"{local_path(shared_dir(spark))}/kn-{uuid.uuid4().hex}"
+    folder = f"{mounted(shared_dir(spark))}/kn-{uuid.uuid4().hex}"
     os.makedirs(folder)
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     # a word takes six bytes or so, and a word in ten is new to its task
