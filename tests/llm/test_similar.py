@@ -84,13 +84,14 @@ def test_leaders_leave_no_near_member_out():
     entries["key"], entries["size"] = rng.integers(0, 4, 400), 50
     entries["check"] = centre[which] ^ noise
     entries["node"] = rng.permutation(400)
-    for step in (7, 100, 10_000):
-        S.STEP, before = step, S.STEP
+    before = S.STEP, S.RANGE
+    for step in ((7, 10**6), (100, 10**6), (10_000, 10**6), (10_000, 300), (100, 20)):
+        S.STEP, S.RANGE = step
         try:
             block = pa.table({"shard": [3], "block": pa.array([entries.tobytes()], pa.binary())})
             links = S._meet(2)(block).to_pydict()
         finally:
-            S.STEP = before
+            S.STEP, S.RANGE = before
         group = dict(zip(entries["node"].tolist(), which.tolist()))
         assert all(group[a] == group[b] and a > b for a, b in zip(links["a"], links["b"]))
         node, _ = forest(np.array(links["a"]), np.array(links["b"]))
