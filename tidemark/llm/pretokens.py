@@ -93,7 +93,7 @@ class Memo:
     When ``most`` are held, or ``room`` blocks of eight bytes, it starts anew, so memory is bounded by these and one slice.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 200_000, room: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 500_000, room: int = 2_000_000):
         self.encode, self.most, self.room = encode, most, room
         self.clear()
 
@@ -156,7 +156,7 @@ class Memo:
         edge = np.concatenate(([0], np.cumsum(per_doc)))
         return out, np.diff(done[edge])
 
-    def encode_column(self, texts: pa.Array, most: int = SLICE) -> Iterator[np.ndarray]:
+    def encode_column(self, texts: pa.Array, most: int = 2 * SLICE) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; null is empty."""
         for raw, off in slices(texts, most):
             ids, sizes = self.encode_slice(raw, off)
