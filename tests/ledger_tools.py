@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from decimal import Decimal
 
-from conftest import PARSED, at
+from conftest import at, parsed_schema
 
 from tidemark.config import Settings
 from tidemark.streaming.batch import process_batch
@@ -30,7 +30,7 @@ class Runner:
 
     def frame(self, rows):
         rows = [[*r[:8], i if r[8] is None else r[8], r[9]] for i, r in enumerate(rows)]
-        return self.spark.createDataFrame([tuple(r) for r in rows], PARSED)
+        return self.spark.createDataFrame([tuple(r) for r in rows], parsed_schema())
 
     def run(self, number, rows, now=100_000):
         return process_batch(self.spark, self.frame(rows), number, self.settings, store=self.store, now=at(now))

@@ -7,7 +7,10 @@ import random
 import pytest
 from ledger_tools import Model, Runner, payment
 
+from tidemark.streaming import batch as batch_module
+from tidemark.streaming import store as store_module
 from tidemark.streaming.checks import run_checks
+from tidemark.streaming.store import DATA_TABLES, LedgerStore, Part, merges
 
 STEPS = ("staged late_events", "staged events", "staged merchant_windows", "before commit", "after commit")
 BATCHES = ([payment("a", 600), payment("b", 30)], [payment("c", 500), payment("d", 700), payment("e", 100)])
@@ -56,16 +59,77 @@ def test_versions_and_compaction(spark, tmp_path):
     runner = Runner(spark, tmp_path / "ledger")
     for i, s in enumerate((10, 200, 400, 30, 900)):
         runner.run(i, [payment(f"t{i}", s)])
-    assert runner.store.table("events", version=1).count() == 2
-    assert {r["transaction_id"] for r in runner.store.table("events", batch=2).collect()} == {"t2"}
-    before = {t: runner.rows(t) for t in ("events", "late_events", "merchant_windows", "stream_state")}
-    runner.store.compact()
-    runner.store.compact()
-    assert before == {t: runner.rows(t) for t in before}
+    store = runner.store
+    assert store.table("events", version=1).count() == 2
+    changed = lambda n: {(r["merchant_id"], r["updated_batch_id"]) for r in store.table("merchant_windows", batch=n).collect()}
+    rows = {t: runner.rows(t) for t in ("events", "late_events", "merchant_windows", "stream_state")}
+    by_batch = {n: (runner.ids("events", n), runner.ids("late_events", n), changed(n)) for n in range(5)}
+    assert by_batch[2][0] == {"t2"} and by_batch[3][1] == {"t3"} and by_batch[4][2] == {("M1", 4)}
+    folders = lambda: [f for t in DATA_TABLES for f in store.files.names(f"data/{t}")]
+    before = len(folders())
+    store.compact()
+    store.compact()
+    assert rows == {t: runner.rows(t) for t in rows}
+    assert by_batch == {n: (runner.ids("events", n), runner.ids("late_events", n), changed(n)) for n in range(5)}
+    # what was compacted goes, and nothing of what is left
+    store.vacuum()
+    assert len(folders()) <= 3 < before and store._numbers("_commits") == []
+    assert rows == {t: runner.rows(t) for t in rows}
+    assert by_batch == {n: (runner.ids("events", n), runner.ids("late_events", n), changed(n)) for n in range(5)}
+    with pytest.raises(ValueError, match="gone"):
+        store.table("events", version=1)
+    assert store.base("late comer") == 5
+    assert runner.run(2, [payment("other", 5)]).rows_on_time == 1  # a replay finds its report
     runner.run(5, [payment("t2", 400), payment("t9", 1000)])
-    assert runner.ids("events") == {"t0", "t1", "t2", "t4", "t9"} and all(r.ok for r in run_checks(runner.store))
-    runner.store.vacuum()
-    assert all(r.ok for r in run_checks(runner.store))
+    assert runner.ids("events") == {"t0", "t1", "t2", "t4", "t9"} and all(r.ok for r in run_checks(store))
+    store.vacuum()
+    assert all(r.ok for r in run_checks(store))
+
+
+def test_merges():
+    """Runs of a level become one of the next, newer parts with them; parts follow each other and levels fall."""
+    parts: list[Part] = []
+    for n in range(200):
+        parts.append(Part(n, n, 0, ""))
+        due = merges(parts, 3)
+        if due:
+            assert parts[-len(due) :] == due
+            parts = [*parts[: -len(due)], Part(due[0].first, n, max(p.level for p in due) + 1, "")]
+        assert [p.first for p in parts] == [0, *(p.last + 1 for p in parts[:-1])]
+        assert [p.level for p in parts] == sorted((p.level for p in parts), reverse=True)
+        assert len(parts) <= 2 * 6
+    assert merges([Part(0, 0, 0, "")] * 2, 3) == [] and merges([], 3) == []
+
+
+@pytest.mark.parametrize("step", ["merged merchant_windows", "before snapshot"])
+def test_upkeep_while_running(spark, tmp_path, monkeypatch, step):
+    """A snapshot every third batch, with crashes in it: tables, reports and file counts are as they should be."""
+    monkeypatch.setattr(store_module, "EVERY", 3)
+    monkeypatch.setattr(batch_module, "EVERY", 3)
+    monkeypatch.setattr(LedgerStore.maintain, "__defaults__", (3,))
+    crashed = []
+
+    def fault(name):
+        if name == step and len(crashed) < 2:
+            crashed.append(name)
+            raise Crash(name)
+
+    runner, model = Runner(spark, tmp_path / "ledger", fault), Model()
+    dice = random.Random(15)
+    for number in range(8):
+        rows = [payment(f"t{dice.randrange(40)}", number * 50 + dice.randrange(-300, 60), f"M{dice.randrange(2)}") for _ in range(4)]
+        model.run(number, rows)
+        try:
+            runner.run(number, rows)
+        except Crash:
+            assert runner.run(number, rows).rows_in == 4
+    assert bool(crashed) == bool(step)
+    assert runner.ids("events") == set(model.events) and runner.ids("late_events") == set(model.late)
+    assert {k: (r["tx_count"], r["total_amount"]) for k, r in runner.windows().items()} == model.totals()
+    assert sorted(r[0] for r in runner.rows("stream_state")) == list(range(8)) and all(r.ok for r in run_checks(runner.store))
+    store = runner.store
+    store.maintain(1)
+    assert len(store.log().parts["events"]) <= 4 and len(store._numbers("_commits")) <= 4 and len(store._numbers("_snapshots")) <= 2
 
 
 def test_empty_ledger(spark, tmp_path):

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
+import signal
+import subprocess
+import sys
+import time
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
-from conftest import at
+from conftest import START, at
 
 from tidemark.config import Settings
-from tidemark.sources.generator import Feed, Knobs, encode, main, to_files
+from tidemark.session import build_session
+from tidemark.sources.generator import Feed, Knobs, Undelivered, encode, main, to_files, to_kafka
 from tidemark.sources.streams import RAW, json_files
 from tidemark.sources.wire import parse
 from tidemark.streaming import checks
@@ -36,8 +43,11 @@ def test_wire_forms(spark):
 
 def put(folder, number, rows):
     folder.mkdir(exist_ok=True)
-    lines = [json.dumps({"value": r, "partition": 0, "offset": number * 100 + i, "timestamp": "2026-09-14T00:00:00.000+00:00"}) for i, r in enumerate(rows)]
-    (folder / f"{number:04d}.json").write_text("\n".join(lines) + "\n")
+    lines = [json.dumps({"value": r, "partition": 0, "offset": number * 100 + i, "timestamp": at(86_400).isoformat()}) for i, r in enumerate(rows)]
+    path = folder / f"{number:04d}.json"
+    path.write_text("\n".join(lines) + "\n")
+    # the source takes the oldest first
+    os.utime(path, (START + number, START + number))
 
 
 def run(spark, source, settings):
@@ -51,16 +61,16 @@ def test_stream_restart_and_idle_restart(spark, tmp_path):
     put(source, 1, [wire(f"b{i}", 100 + i) for i in range(3)])
     run(spark, source, settings)
     store = LedgerStore(spark, settings.root)
-    assert store.batches() == [0, 1]
+    assert [s["batch_id"] for s in store.states(store.log())] == [0, 1]
     run(spark, source, settings)
-    assert store.batches() == [0, 1]
+    assert [s["batch_id"] for s in store.states(store.log())] == [0, 1]
     put(source, 2, [wire("a0", 0), wire("c0", 200)])
     run(spark, source, settings)
-    assert store.batches() == [0, 1, 2] and store.table("events").count() == 7 and checks.ingested(store) == 8
+    assert [s["batch_id"] for s in store.states(store.log())] == [0, 1, 2] and store.table("events").count() == 7 and checks.ingested(store) == 8
     assert all(r.ok for r in checks.run_checks(store))
     # a lost checkpoint: everything comes again under numbers of its own, and is known
     run(spark, source, Settings(root=settings.root, checkpoint=str(tmp_path / "other")))
-    assert store.batches() == [0, 1, 2, 3, 4, 5] and store.table("events").count() == 7
+    assert [s["batch_id"] for s in store.states(store.log())] == [0, 1, 2, 3, 4, 5] and store.table("events").count() == 7
     assert store.table("stream_state").where("rows_duplicate < 0").count() == 0
     assert all(r.ok for r in checks.run_checks(store))
 
@@ -88,6 +98,134 @@ def test_generated_feed_through_the_stream(spark, tmp_path):
     assert all(r.ok for r in checks.run_checks(store))
 
 
+class Broker:
+    """Takes what a Kafka producer takes; refuses some, and is full now and then."""
+
+    def __init__(self, refuse=(), stuck=0):
+        self.taken, self.open, self.refuse, self.stuck, self.full = [], [], set(refuse), stuck, 0
+
+    def produce(self, topic, key, value, on_delivery):
+        if len(self.open) >= 3:
+            self.full += 1
+            raise BufferError("full")
+        self.taken.append((topic, key, json.loads(value)))
+        self.open.append((on_delivery, "refused" if len(self.taken) in self.refuse else None))
+
+    def poll(self, seconds):
+        while seconds and self.open:
+            answer, error = self.open.pop(0)
+            answer(error, None)
+
+    def flush(self):
+        self.poll(1)
+        return self.stuck
+
+
+def test_events_to_a_broker():
+    broker = Broker()
+    kinds = to_kafka(Feed(Knobs(count=40, seed=2), CLOCK), broker, "payments")
+    assert len(broker.taken) == sum(kinds.values()) == 40 and broker.full > 0
+    assert all(topic == "payments" and key == event["merchant_id"] for topic, key, event in broker.taken)
+    assert [e for _, _, e in broker.taken] == [e for e, _ in Feed(Knobs(count=40, seed=2), CLOCK)]
+    with pytest.raises(Undelivered, match="2 refused"):
+        to_kafka(Feed(Knobs(count=9), CLOCK), Broker(refuse=(2, 5)), "payments")
+    with pytest.raises(Undelivered, match="4 still waiting"):
+        to_kafka(Feed(Knobs(count=9), CLOCK), Broker(stuck=4), "payments")
+    began = time.monotonic()
+    to_kafka(Feed(Knobs(count=5), CLOCK), Broker(), "payments", rate=25)
+    assert 0.15 <= time.monotonic() - began < 2
+
+
+KILLED = """
+import sys
+from conftest import SESSION, at
+from pyspark.sql import SparkSession
+from tidemark.config import Settings
+from tidemark.sources.streams import json_files
+from tidemark.sources.wire import parse
+from tidemark.streaming.query import start_query
+
+root = sys.argv[1]
+spark = SparkSession.builder.config(map=SESSION | {"spark.master": "local[2]", "spark.driver.memory": "1g"}).getOrCreate()
+settings = Settings(root=f"{root}/ledger", checkpoint=f"{root}/checkpoint")
+start_query(spark, parse(json_files(spark, f"{root}/in")), settings, available_now=True, now=lambda n: at(200_000 + n)).awaitTermination()
+"""
+
+
+def test_a_killed_process(spark, tmp_path):
+    """SIGKILL to the driver and its JVM while batches land; the restart finishes, and everything is there once."""
+    now = {"s": 0.0}
+
+    def clock():
+        now["s"] += 0.5
+        return at(now["s"])
+
+    kinds = to_files(Feed(Knobs(count=480, seed=9), clock), str(tmp_path / "in"), 40, clock)
+    script = tmp_path / "job.py"
+    script.write_text(KILLED)
+    home = Path(__file__).resolve().parent
+    env = os.environ | {"PYTHONPATH": f"{home.parent}{os.pathsep}{home}"}
+    job = subprocess.Popen([sys.executable, str(script), str(tmp_path)], env=env, start_new_session=True, stderr=subprocess.DEVNULL)
+    settings = Settings(root=str(tmp_path / "ledger"), checkpoint=str(tmp_path / "checkpoint"))
+    store, end = LedgerStore(spark, settings.root), time.monotonic() + 120
+    while len(store._numbers("_commits")) < 3 and time.monotonic() < end and job.poll() is None:
+        time.sleep(0.05)
+    assert job.poll() is None
+    os.killpg(job.pid, signal.SIGKILL)
+    job.wait()
+    before = store.newest()
+    assert 2 <= before < 11 and all(r.ok for r in checks.run_checks(store))
+    run(spark, tmp_path / "in", settings)
+    assert store.newest() == 11 and checks.ingested(store) == 480
+    assert store.table("events").count() + store.table("late_events").count() == kinds["fresh"] + kinds["late"]
+    assert all(r.ok for r in checks.run_checks(store))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Exit codes and what is printed, on a good ledger and on one whose log was tampered with."""
+    settings = Settings(root=str(tmp_path / "ledger"), checkpoint=str(tmp_path / "checkpoint"))
+    put(tmp_path / "in", 0, [wire("a", 600), wire("b", 30)])
+    put(tmp_path / "in", 1, [wire("c", 100), wire("d", 900), wire("a", 600)])
+    run(spark, tmp_path / "in", settings)
+    root = ["--root", settings.root]
+    level = spark.sparkContext.setLogLevel
+    assert checks.main([*root, "--ingested"]) == 0 and capsys.readouterr().out == "5\n"
+    assert checks.main([*root, "--status", "--wait-for-rows", "5"]) == 0
+    shown = capsys.readouterr().out
+    assert "events" in shown and "3 rows" in shown and "stream_state" in shown and "rows_duplicate" in shown
+    assert checks.main(root) == 0
+    said = capsys.readouterr().out
+    assert "5 in, 3 on time, 1 late, 1 copies" in said and "7 of 7 hold" in said and "FAIL" not in said
+    assert checks.main([*root, "--wait-for-rows", "6", "--timeout", "0"]) == 2
+    path = tmp_path / "ledger" / "_commits" / f"{1:020d}.json"
+    path.write_text(path.read_text().replace('"rows_on_time": 1', '"rows_on_time": 2'))
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    assert checks.main(root) == 1
+    said = capsys.readouterr().out
+    assert "FAIL ledger matches tables: 2 violations" in said and "6 of 7 hold" in said
+    level("ERROR")
+
+
+def test_a_trigger_of_time(spark, tmp_path):
+    """Without ``available_now`` the query goes on, takes what comes later, and stops when asked."""
+    settings = Settings(root=str(tmp_path / "ledger"), checkpoint=str(tmp_path / "checkpoint"), trigger_seconds=1)
+    put(tmp_path / "in", 0, [wire("a", 600)])
+    query = start_query(spark, parse(json_files(spark, str(tmp_path / "in"))), settings, now=lambda n: at(200_000 + n))
+    store = LedgerStore(spark, settings.root)
+    try:
+        checks.wait_for_rows(store, 1, 60, pause=0.2)
+        put(tmp_path / "in", 1, [wire("b", 700), wire("c", 10)])
+        assert checks.wait_for_rows(store, 3, 60, pause=0.2) == 3
+    finally:
+        query.stop()
+    assert store.newest() == 1 and all(r.ok for r in checks.run_checks(store))
+
+
+def test_session(spark):
+    found = build_session("other", shuffle_partitions=4, spark__sql__ansi__enabled="true")
+    assert found.conf.get("spark.sql.session.timeZone") == "UTC" and found.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_generator_repeats_itself():
     make = lambda seed: [(encode(e), k) for e, k in Feed(Knobs(count=100, seed=seed), CLOCK)]
     assert make(1) == make(1) != make(2) and len(make(1)) == 100

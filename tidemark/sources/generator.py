@@ -19,6 +19,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from tidemark.config import Settings
+
+# Payment methods, the memory of copies, the knobs' defaults, the names of the fields.
 METHODS = ("pix", "credit", "debit")
 #: A copy is of one of the latest so many events sent.
 MEMORY = 50
@@ -99,12 +102,12 @@ class Feed:
             left -= min(most, left)
 
 
-def send(feed, out: Callable[[str], None], rate: float | None = None) -> Counter:
-    """Hand the wire form of every event to ``out``, at ``rate`` a second if given; returns how many of each kind."""
+def send(feed, out: Callable[[Event], None], rate: float | None = None) -> Counter:
+    """Hand every event to ``out``, at ``rate`` a second if given; returns how many of each kind."""
     kinds: Counter = Counter()
     began = time.monotonic()
     for event, kind in feed:
-        out(encode(event))
+        out(event)
         kinds[kind] += 1
         if rate:
             time.sleep(max(0.0, began + sum(kinds.values()) / rate - time.monotonic()))
@@ -129,9 +132,9 @@ def to_files(feed, folder: str, per_file: int, clock: Callable[[], datetime] | N
 
     offset = 0
 
-    def take(text: str) -> None:
+    def take(event: Event) -> None:
         nonlocal offset
-        record = {"value": text, "partition": 0, "offset": offset, "timestamp": clock().isoformat(timespec="milliseconds")}
+        record = {"value": encode(event), "partition": 0, "offset": offset, "timestamp": clock().isoformat(timespec="milliseconds")}
         offset += 1
         held.append(json.dumps(record) + "\n")
         if len(held) >= per_file:
@@ -143,19 +146,60 @@ def to_files(feed, folder: str, per_file: int, clock: Callable[[], datetime] | N
     return kinds
 
 
+class Undelivered(RuntimeError):
+    """The broker didn't take every event."""
+
+
+def connect(servers: str):
+    """A producer that waits for all replicas; needs the confluent_kafka library."""
+    try:
+        from confluent_kafka import Producer
+    except ImportError as error:
+        raise SystemExit("sending to Kafka needs confluent_kafka") from error
+    return Producer({"bootstrap.servers": servers, "acks": "all"})
+
+
+def to_kafka(feed, producer, topic: str, rate: float | None = None) -> Counter:
+    """Every event keyed by its merchant, so that one merchant's stay in order; raises if any wasn't delivered."""
+    lost: list[str] = []
+
+    def report(error, _message) -> None:
+        if error is not None:
+            lost.append(str(error))
+
+    def put(event: Event) -> None:
+        while True:
+            try:
+                producer.produce(topic, key=event["merchant_id"], value=encode(event), on_delivery=report)
+                break
+            except BufferError:  # its queue is full: let deliveries through
+                producer.poll(0.1)
+        producer.poll(0)
+
+    kinds = send(feed, put, rate)
+    waiting = producer.flush()
+    if lost or waiting:
+        raise Undelivered(f"{len(lost)} refused, {waiting} still waiting; {lost[0] if lost else 'no answer'}")
+    return kinds
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     for name, value in vars(Knobs()).items():
         parser.add_argument(f"--{name.replace('_', '-')}", type=type(value), default=value)
     parser.add_argument("--folder", help="write files there; without it, JSON lines to standard output")
     parser.add_argument("--per-file", type=int, default=100)
+    parser.add_argument("--bootstrap-servers", help="send to Kafka there, at the rate")
+    parser.add_argument("--topic", default=Settings().topic)
     args = vars(parser.parse_args(argv))
-    folder, per_file = args.pop("folder"), args.pop("per_file")
+    folder, per_file, servers, topic = (args.pop(n) for n in ("folder", "per_file", "bootstrap_servers", "topic"))
     feed = Feed(Knobs(**args))
-    if folder:
+    if servers:
+        kinds = to_kafka(feed, connect(servers), topic, args["rate"])
+    elif folder:
         kinds = to_files(feed, folder, per_file)
     else:
-        kinds = send(feed, lambda line: print(line))
+        kinds = send(feed, lambda event: print(encode(event)))
     print(f"sent {sum(kinds.values())}: {dict(kinds)}", file=sys.stderr)
 
 

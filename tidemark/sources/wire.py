@@ -23,11 +23,11 @@ def parse(raw: DataFrame) -> DataFrame:
     return flat.withColumn("amount", F.col("amount").cast(MONEY))
 
 
-def encode(time: Column) -> Column:
-    """The wire form of a row with the wire's columns; ``time`` is its event time as a TIMESTAMP."""
+def encode(time: Column, digits: int = 3) -> Column:
+    """The wire form of a row with the wire's columns; ``time`` is its event time as a TIMESTAMP, to ``digits`` of a second."""
     names = [f.name for f in WIRE.fields if f.name != "event_time"]
     fields = [F.col(n).cast("string").alias(n) for n in names]
     return F.to_json(
         F.struct(*fields, time.alias("event_time")),
-        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSxxx", "timeZone": "UTC"},
+        {"timestampFormat": f"yyyy-MM-dd'T'HH:mm:ss.{'S' * digits}xxx", "timeZone": "UTC"},
     )

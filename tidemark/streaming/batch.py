@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions.clock import from_micros, instant, to_micros
 from tidemark.operators.arrivals import enrich, first_arrival, is_late, lateness, malformed, unseen
+from tidemark.operators.keyed import latest
 from tidemark.operators.windows import KEY, refreshed, touched
-from tidemark.schema import REQUIRED
-from tidemark.streaming.store import LedgerStore
+from tidemark.schema import KEYS, REQUIRED
+from tidemark.streaming.store import EVERY, LedgerStore
 
 ARRIVAL = ("kafka_timestamp", "kafka_partition", "kafka_offset")
 
@@ -59,8 +60,9 @@ def process_batch(
     number = batch_id + (store.base(stream) if stream else 0)
     done = store.committed(number)
     if done is not None:
-        return _report(done["state"])
-    previous = store.last_state(number) or {}
+        return _report(done)
+    log = store.log(number - 1)
+    previous = store.last_state(log)
     applied, known_max = previous.get("watermark"), previous.get("max_event_time")
     stamp = to_micros(now or datetime.now(timezone.utc))
 
@@ -78,8 +80,7 @@ def process_batch(
         lateness_micros = settings.allowed_lateness_seconds * 1_000_000
         watermark = None if newest is None else newest - lateness_micros
 
-        log = store.log(number - 1)
-        history = {t: store.read(store.folders(t, log), t) for t in ("events", "late_events")}
+        history = {t: store.read(log.parts[t], t) for t in ("events", "late_events")}
         stamped = enrich(kept, settings.window_seconds, instant(stamp), F.lit(number))
         judged = first_arrival(stamped, ARRIVAL).withColumn("late", is_late(instant(applied))).persist()
         held.append(judged)
@@ -97,7 +98,7 @@ def process_batch(
             folders["late_events"] = store.stage("late_events", fresh.where("late").withColumns(evidence), number)
         if counts["on_time"]:
             folders["events"] = store.stage("events", fresh.where("NOT late"), number)
-        changes = _window_changes(store, log, folders, history["events"], judged, applied, watermark, number, stamp)
+        changes = _window_changes(store, log, fresh, history["events"], judged, applied, watermark, number, stamp)
         if changes is not None:
             folders["merchant_windows"] = store.stage("merchant_windows", changes, number)
     finally:
@@ -111,26 +112,32 @@ def process_batch(
     state = asdict(report) | {
         "watermark_applied": applied, "max_event_time": newest, "watermark": watermark, "processing_time": stamp
     }
-    return _report(store.commit(number, folders, state))
+    state = store.commit(number, folders, state)
+    if len(log.tail) + 1 >= EVERY:
+        store.maintain()
+    return _report(state)
 
 
-def _window_changes(store, log, folders, old_events, judged, applied, watermark, number, stamp) -> DataFrame | None:
-    """One row for each window that the batch writes or closes."""
+def _window_changes(store, log, fresh, events, judged, applied, watermark, number, stamp) -> DataFrame | None:
+    """One row for each window that the batch writes or closes.
+
+    Windows that ended by the watermark applied are final and never met again: neither their rows nor their events are read.
+    """
     if watermark is None:
         return None
-    current = store.table("merchant_windows", number - 1)
-    own = touched(judged.where("NOT late"))
-    events = old_events
+    changelog = store.read(log.parts["merchant_windows"], "merchant_windows")
     if applied is not None:
-        # on-time records are of windows that were open: older files and row groups aren't read
-        events = events.where(F.col("window_end") > instant(applied))
-    if "events" in folders:
-        events = events.unionByName(store.read([f"{store.root}/{folders['events']}"], "events"))
+        still_open = F.col("window_end") > instant(applied)
+        changelog, events = changelog.where(still_open), events.where(still_open)
+    current = latest(changelog, KEYS["merchant_windows"], "updated_batch_id")
+    own = touched(judged.where("NOT late"))
+    columns = [*KEY, "amount"]
+    events = events.select(*columns).unionAll(fresh.where("NOT late").select(*columns))
     # one join of the windows as they stand with those written: what is written, and what the watermark closes besides
-    fresh = refreshed(events, own).select(*KEY, F.col("tx_count").alias("n"), F.col("total_amount").alias("total"))
+    written = refreshed(events, own).select(*KEY, F.col("tx_count").alias("n"), F.col("total_amount").alias("total"))
     passed = F.col("window_end") <= instant(watermark)
     was_final = F.coalesce("is_final", F.lit(False))
-    met = current.join(fresh, KEY, "full").where(F.col("n").isNotNull() | (~was_final & passed))
+    met = current.join(written, KEY, "full").where(F.col("n").isNotNull() | (~was_final & passed))
     return met.select(
         *KEY,
         F.coalesce("n", "tx_count").alias("tx_count"),

@@ -59,5 +59,9 @@ class Files:
                 raise Exists(name) from error
             raise
 
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files of a folder."""
+        return self.fs.getContentSummary(self.path(name)).getLength()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

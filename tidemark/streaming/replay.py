@@ -1,7 +1,8 @@
-"""The feed of ``events`` through the real streaming job, a file a batch."""
+"""The feed of ``events`` as JSON on the wire, through the real streaming job, a file a batch."""
 
 from __future__ import annotations
 
+import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,42 +11,41 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions.clock import ntz_to_instant
 from tidemark.sources.feed import LATENESS_SECONDS, WINDOW_SECONDS, feed
+from tidemark.sources.streams import json_files
+from tidemark.sources.wire import encode, parse
 from tidemark.streaming.query import start_query
 from tidemark.streaming.store import LedgerStore
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed as parsed records, with ``batch_id``; arrival is the order of positions."""
+    """The feed as a log's records, with ``batch_id``; arrival is the order of positions."""
     rows = feed(spark, sf_dir).withColumn("time", ntz_to_instant("event_time"))
     return rows.select(
-        "transaction_id", "merchant_id", "account_id", F.col("amount").cast("string").alias("amount"), "currency", "method",
-        F.col("time").alias("event_time"), F.lit(0).alias("kafka_partition"),
-        (F.col("pos") * 2 + F.col("copy")).alias("kafka_offset"),
-        F.timestamp_seconds(F.col("pos")).alias("kafka_timestamp"), "batch_id",
+        encode(F.col("time"), 6).alias("value"), F.lit(0).alias("partition"), (F.col("pos") * 2 + F.col("copy")).alias("offset"),
+        F.timestamp_seconds(F.col("pos")).alias("timestamp"), "batch_id",
     )
 
 
+def write_arrivals(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """The feed's batches as files of ``folder``, in the order of their names and dates; how many there are."""
+    staging = f"{folder}-staging"
+    records(spark, sf_dir).repartition("batch_id").write.partitionBy("batch_id").json(staging)
+    os.makedirs(folder)
+    found = glob.glob(f"{staging}/batch_id=*/*.json")
+    assert len(found) == len(os.listdir(staging)) - sum(not n.startswith("batch_id=") for n in os.listdir(staging)), "a file a batch"
+    for path in found:
+        number = int(os.path.basename(os.path.dirname(path)).removeprefix("batch_id="))
+        os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+        os.replace(path, f"{folder}/{number:06d}.json")
+    return len(found)
+
+
 def run_feed(spark: SparkSession, sf_dir: str, folder: str) -> LedgerStore:
     """Write the feed's batches as files, read them as a stream one file a trigger, and return the ledger."""
-    source = f"{folder}/arrivals"
-    rows = records(spark, sf_dir).persist()
-    numbers = [r[0] for r in rows.select("batch_id").distinct().orderBy("batch_id").collect()]
-    assert numbers == list(range(len(numbers))), "every batch of the feed has records"
-    for number in numbers:
-        # a file each, named and dated in order: the file source takes the oldest first
-        own = f"{folder}/staging/{number:06d}"
-        rows.where(F.col("batch_id") == number).drop("batch_id").coalesce(1).write.parquet(own)
-        os.makedirs(source, exist_ok=True)
-        part = next(n for n in sorted(os.listdir(own)) if n.endswith(".parquet"))
-        target = f"{source}/{number:06d}.parquet"
-        os.replace(f"{own}/{part}", target)
-        os.utime(target, (1_700_000_000 + number, 1_700_000_000 + number))
-    schema = rows.drop("batch_id").schema
-    rows.unpersist()
+    write_arrivals(spark, sf_dir, f"{folder}/arrivals")
     settings = Settings(
         root=f"{folder}/ledger", checkpoint=f"{folder}/checkpoint", window_seconds=WINDOW_SECONDS,
         allowed_lateness_seconds=LATENESS_SECONDS,
     )
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    start_query(spark, stream, settings, available_now=True).awaitTermination()
+    start_query(spark, parse(json_files(spark, f"{folder}/arrivals")), settings, available_now=True).awaitTermination()
     return LedgerStore(spark, settings.root)
