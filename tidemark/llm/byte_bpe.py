@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import frugal
 from tidemark.llm.pretokens import Memo, gather
 
-MOST_STATES = 100_000
+MOST_STATES = 250_000
+#: Pre-tokens whose ids a worker holds, at some 60 bytes each.
+MEMO = 1_000_000
 
 
 def multi_vocabulary() -> str:
@@ -129,12 +131,13 @@ class Transducer:
                 live.append((child, before, pending))
         assert here is not None, "every byte is a token"
         live.append((0, here[0], here[1]))
-        # what all starts agree on goes out
-        common = min(len(p) for _, _, p in live)
-        first = live[-1][2]
-        while any(p[:common] != first[:common] for _, _, p in live):
-            common -= 1
-        key = tuple((node, before, pending[common:]) for node, before, pending in live)
+        # what all starts agree on goes out; most often the oldest one holds nothing back
+        common, first = 0, live[0][2]
+        if first:
+            common = min([len(p) for _, _, p in live])
+            while common and any([p[:common] != first[:common] for _, _, p in live]):
+                common -= 1
+        key = tuple([(node, before, pending[common:]) for node, before, pending in live]) if common else tuple(live)
         if len(self.states) >= self.most:
             self.reset()
             return self._state(key), first[:common]
@@ -142,12 +145,15 @@ class Transducer:
         return move
 
     def encode(self, data: bytes) -> list[int]:
-        state, out = 0, []
+        state, out, moves = 0, [], self.moves
         for byte in data:
-            move = self.moves[state].get(byte) or self._step(state, byte)
+            move = moves[state].get(byte)
+            if move is None:
+                move = self._step(state, byte)
+                moves = self.moves  # other ones if it started anew
             state = move[0]
             if move[1]:
-                out.extend(move[1])
+                out += move[1]
         out.extend(self.flush[state])
         return out
 
@@ -240,7 +246,7 @@ def _tools(path: str) -> tuple[Memo, list[bytes], np.ndarray, np.ndarray]:
         token[rank] = data
     text = [b"%d," % i for i in range(len(token))]
     first = np.concatenate(([0], np.cumsum([len(t) for t in text])))
-    return Memo(lambda pieces: [transducer.encode(p) for p in pieces]), token, np.frombuffer(b"".join(text), np.uint8), first
+    return Memo(lambda pieces: [transducer.encode(p) for p in pieces], most=MEMO), token, np.frombuffer(b"".join(text), np.uint8), first
 
 
 def joined(ids: np.ndarray, flat: np.ndarray, first: np.ndarray) -> bytes:

@@ -93,7 +93,7 @@ class Memo:
     When ``most`` are held, or ``room`` blocks of eight bytes, it starts anew, so memory is bounded by these and one slice.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 500_000, room: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 500_000, room: int = 4_000_000):
         self.encode, self.most, self.room = encode, most, room
         self.clear()
 
