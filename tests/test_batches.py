@@ -118,3 +118,14 @@ def test_amounts_round_half_up_and_bad_ones_stop(ledger):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         ledger.run(1, [payment("c", 12, amount="abc")])
     assert ledger.store.batches() == [0]
+
+
+def test_a_batch_takes_few_jobs(spark, ledger):
+    """Its records are read and shuffled once, its keys go to the history, one aggregation totals its windows."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    for number in range(3):
+        before = jobs()
+        report = ledger.run(number, [payment(f"{number}{i}", 600 * number + 60 * i, merchant=f"M{i}") for i in range(-10, 4)])
+        taken = jobs() - before
+    assert report.rows_late and report.rows_on_time
+    assert taken <= 14

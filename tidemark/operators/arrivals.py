@@ -64,3 +64,12 @@ def unseen(rows: DataFrame, known: DataFrame, key: str = "transaction_id") -> Da
     own = rows.select(key).distinct()
     met = known.select(key).join(own, key, "left_semi")
     return rows.join(met, key, "left_anti")
+
+
+def seen_before(rows: DataFrame, known: DataFrame, key: str = "transaction_id", *, send: bool = False) -> DataFrame:
+    """Adds ``seen``, whether ``known`` has a row's key; one row a key on both sides. ``send``: few enough rows that their keys
+    go to the history, which is then read where it lies and not shuffled."""
+    own = rows.select(key)
+    met = known.select(key).join(F.broadcast(own) if send else own, key, "left_semi").withColumn("_met", F.lit(True))
+    marked = rows.join(F.broadcast(met) if send else met, key, "left")
+    return marked.select(*[rows[c] for c in rows.columns], F.coalesce("_met", F.lit(False)).alias("seen"))

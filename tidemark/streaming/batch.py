@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.functions.clock import from_micros, instant, to_micros
-from tidemark.operators.arrivals import enrich, first_arrival, is_late, lateness, malformed, unseen
-from tidemark.operators.keyed import latest
-from tidemark.operators.windows import KEY, refreshed, touched
-from tidemark.schema import KEYS, REQUIRED
+from tidemark.operators.arrivals import enrich, is_late, lateness, malformed, seen_before
+from tidemark.operators.windows import KEY
+from tidemark.schema import MONEY, REQUIRED
 from tidemark.streaming.store import EVERY, LedgerStore
 
 ARRIVAL = ("kafka_timestamp", "kafka_partition", "kafka_offset")
+#: A batch of no more keys than this is sent to the history as it is; a larger one meets it by a shuffle.
+SENT_KEYS = 500_000
 
 
 class MalformedBatch(RuntimeError):
@@ -66,13 +67,14 @@ def process_batch(
     applied, known_max = previous.get("watermark"), previous.get("max_event_time")
     stamp = to_micros(now or datetime.now(timezone.utc))
 
-    kept = rows.persist()
-    held = [kept]
+    arrived = _arrived(rows).persist()
+    held = [arrived]
     try:
-        seen = kept.agg(
-            F.count("*").alias("n"),
-            F.count_if(malformed()).alias("bad"),
-            F.max(F.unix_micros("event_time")).alias("newest"),
+        seen = arrived.agg(
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("n"),
+            F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"),
+            F.max("_newest").alias("newest"),
+            F.count("*").alias("keys"),
         ).first()
         if seen["bad"]:
             raise MalformedBatch(f"batch {number}: {seen['bad']} of {seen['n']} records lack one of {', '.join(REQUIRED)}")
@@ -81,13 +83,13 @@ def process_batch(
         watermark = None if newest is None else newest - lateness_micros
 
         history = {t: store.read(log.parts[t], t) for t in ("events", "late_events")}
-        stamped = enrich(kept, settings.window_seconds, instant(stamp), F.lit(number))
-        judged = first_arrival(stamped, ARRIVAL).withColumn("late", is_late(instant(applied))).persist()
-        held.append(judged)
         known = history["events"].select("transaction_id").unionAll(history["late_events"].select("transaction_id"))
-        fresh = unseen(judged, known).persist()
-        held.append(fresh)
-        counts = fresh.agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late")).first()
+        stamped = enrich(arrived.select("_first.*"), settings.window_seconds, instant(stamp), F.lit(number))
+        judged = seen_before(stamped.withColumn("late", is_late(instant(applied))), known, send=seen["keys"] <= SENT_KEYS).persist()
+        held.append(judged)
+        new = ~F.col("seen")
+        fresh = judged.where(new)
+        counts = judged.agg(F.count_if(new & ~F.col("late")).alias("on_time"), F.count_if(new & F.col("late")).alias("late")).first()
 
         folders = {}
         if counts["late"]:
@@ -98,7 +100,7 @@ def process_batch(
             folders["late_events"] = store.stage("late_events", fresh.where("late").withColumns(evidence), number)
         if counts["on_time"]:
             folders["events"] = store.stage("events", fresh.where("NOT late"), number)
-        changes = _window_changes(store, log, fresh, history["events"], judged, applied, watermark, number, stamp)
+        changes = _window_changes(store, log, history["events"], judged, applied, watermark, number, stamp)
         if changes is not None:
             folders["merchant_windows"] = store.stage("merchant_windows", changes, number)
     finally:
@@ -118,10 +120,21 @@ def process_batch(
     return _report(state)
 
 
-def _window_changes(store, log, fresh, events, judged, applied, watermark, number, stamp) -> DataFrame | None:
+def _arrived(rows: DataFrame) -> DataFrame:
+    """One row a transaction: its first arrival, and what all its records add to the batch's counts; rows are read and shuffled once."""
+    return rows.groupBy("transaction_id").agg(
+        F.min_by(F.struct(*rows.columns), F.struct(*ARRIVAL)).alias("_first"),
+        F.count("*").alias("_copies"),
+        F.count_if(malformed()).alias("_bad"),
+        F.max(F.unix_micros("event_time")).alias("_newest"),
+    )
+
+
+def _window_changes(store, log, events, judged, applied, watermark, number, stamp) -> DataFrame | None:
     """One row for each window that the batch writes or closes.
 
-    Windows that ended by the watermark applied are final and never met again: neither their rows nor their events are read.
+    Windows that ended by the watermark applied are final and never met again: neither their rows nor their events are read. All
+    open windows are totalled by one aggregation of their events, old and new, with the changelog's flags beside them.
     """
     if watermark is None:
         return None
@@ -129,20 +142,24 @@ def _window_changes(store, log, fresh, events, judged, applied, watermark, numbe
     if applied is not None:
         still_open = F.col("window_end") > instant(applied)
         changelog, events = changelog.where(still_open), events.where(still_open)
-    current = latest(changelog, KEYS["merchant_windows"], "updated_batch_id")
-    own = touched(judged.where("NOT late"))
-    columns = [*KEY, "amount"]
-    events = events.select(*columns).unionAll(fresh.where("NOT late").select(*columns))
-    # one join of the windows as they stand with those written: what is written, and what the watermark closes besides
-    written = refreshed(events, own).select(*KEY, F.col("tx_count").alias("n"), F.col("total_amount").alias("total"))
+    no, new = F.lit(False), ~F.col("seen")
+    own = judged.where("NOT late").select(
+        *KEY, F.when(new, F.col("amount")).alias("amount"), new.alias("counts"), F.lit(True).alias("touched"), no.alias("is_final")
+    )
+    old = events.select(*KEY, "amount", F.lit(True).alias("counts"), no.alias("touched"), no.alias("is_final"))
+    flags = changelog.select(*KEY, F.lit(None).cast(MONEY).alias("amount"), no.alias("counts"), no.alias("touched"), "is_final")
+    totals = own.unionAll(old).unionAll(flags).groupBy(*KEY).agg(
+        F.count_if("counts").alias("tx_count"),
+        F.sum("amount").cast(MONEY).alias("total_amount"),
+        F.max("touched").alias("touched"),
+        F.max("is_final").alias("was_final"),  # goes one way, so any row of the changelog that has it will do
+    )
     passed = F.col("window_end") <= instant(watermark)
-    was_final = F.coalesce("is_final", F.lit(False))
-    met = current.join(written, KEY, "full").where(F.col("n").isNotNull() | (~was_final & passed))
-    return met.select(
+    return totals.where((F.col("tx_count") > 0) & (F.col("touched") | (~F.col("was_final") & passed))).select(
         *KEY,
-        F.coalesce("n", "tx_count").alias("tx_count"),
-        F.when(F.col("n").isNotNull(), F.col("total")).otherwise(F.col("total_amount")).alias("total_amount"),
-        (was_final | passed).alias("is_final"),
+        "tx_count",
+        "total_amount",
+        (F.col("was_final") | passed).alias("is_final"),
         F.lit(number).cast("long").alias("updated_batch_id"),
         instant(stamp).alias("updated_at"),
     )
