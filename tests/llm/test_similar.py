@@ -123,3 +123,45 @@ def test_odd_rows(spark):
         frame(spark, [r for r in ODD if r[0] not in (4, 6)]).collect(), key=repr
     )
     assert S.keep_first(frame(spark, [])).count() == 0
+
+
+def test_no_near_pair_is_left_unheld():
+    """Pairs of a bucket that neither leads are marked, and held against each other in the rounds that follow, down to none."""
+    rng = np.random.default_rng(12)
+    entries = np.zeros(300, S._ROOTED)
+    entries["key"], entries["size"], entries["node"] = 0, 50, rng.permutation(300)
+    entries["root"] = entries["node"]  # no link has been verified
+    entries["check"] = np.uint64(1) << rng.integers(0, 64, (300, S.CHECK_BITS // 64)).astype(np.uint64)
+    found, leaders = set(), S.LEADERS
+    plain = np.zeros(300, S._ENTRY)
+    for name in S._ENTRY.names:
+        plain[name] = entries[name]
+    for number in range(4):
+        own = plain if not number else entries[np.isin(entries["node"], left)]
+        block = pa.table({"shard": [0], "block": pa.array([own.tobytes()], pa.binary())})
+        rows = S._meet(0, 0, leaders, number > 0, True)(block).to_pydict()
+        found |= {(a, b) for a, b in zip(rows["a"], rows["b"]) if a != b}
+        left = [a for a, b in zip(rows["a"], rows["b"]) if a == b]
+        if not left:
+            break
+        leaders *= S.MORE
+    assert not left and len(found) == 300 * 299 // 2
+
+
+def test_classes_among_many_false_candidates(spark):
+    """Texts of one boilerplate, most pairs near in the check and few of them links: the classes are those of brute force."""
+    dice = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for family in range(40):  # boilerplate of which a part is changed: most pairs are near in the check, few are links
+        own = list(base)
+        for k in range(4):
+            own[dice.randrange(120)] = f"f{family}_{k}"
+        texts.append(" ".join(own))
+        own[dice.randrange(120)] = f"g{family}"
+        texts.append(" ".join(own))
+    sets = [shingle_set(t) for t in texts]
+    want = roots(sets)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in S.keep_first(frame(spark, rows)).collect()}
+    assert kept == {i for i, r in enumerate(want) if r == i}

@@ -10,10 +10,12 @@ shingles: up to once in 100 times). Fingerprints grow with the logarithm of the
    single flips. Nodes are shuffled by table and top bits; only flips of top bits are sent besides, the others are made where
    they meet, which moves a tenth of the rows.
 2. In each bucket members are held against the bucket's leaders, drawn anew for each table, by their sizes and 512 more SimHash
-   bits; who is near less than two leaders leads too. That makes two candidate links a member and bucket at most, never a
-   group's pairs.
+   bits; who is near less than two leaders leads too. Every member is held against every leader, and what is near is a
+   candidate link; only who leads neither isn't held against each other, so that groups don't make all their pairs.
 3. Candidate links are verified by the exact similarity of the two sets, in plain joins that adaptive execution can
    split: first each node's ``NEAREST``, then whatever still joins two components. No link is taken unverified.
+4. Members that led neither and met in a bucket are dealt once more, with the components so far: what lies in different ones is met again, now
+   with sixteen times the leaders, until no two members of different components are left unheld. No cap drops a candidate.
 
 Defined results: wordless and null texts are one node, of no similarity to others; a text of fewer words than a shingle
 is one shingle; rows that repeat an id are judged each by its own text; a null id is smaller than any other; an empty
@@ -45,8 +47,8 @@ SMALL = 1.12
 #: more in sets of under ``FEW`` elements.
 CHECK_BITS, CHECK_NEAR = 512, 106
 FEW, CHECK_FEW = 16, 135
-#: Leaders that a member is linked to in a bucket.
-LEADERS = 2
+#: Leaders in a bucket that a member is near to before it stops leading itself, in the first round, and how many times that in the next.
+LEADERS, MORE = 2, 16
 #: Links of a node that are verified first; the others are where they still join two components.
 NEAREST = 4
 #: Variants that one shard holds, that are made at once and that are met at once, about.
@@ -54,6 +56,7 @@ BLOCK, STEP, RANGE = 2_500_000, 3_000_000, 250_000
 _MOVED = np.uint32(1 << 31)
 _LANE = np.uint64(0x0101010101010101)
 _ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8"), ("check", "<u8", CHECK_BITS // 64)])
+_ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
 
 
 @dataclass(frozen=True)
@@ -150,8 +153,8 @@ def _sketch(shingle: int, n_words: int):
     return of
 
 
-def _deal(how: Plan):
-    """Every node once a table, and once for every flip of a top bit, packed by shard."""
+def _deal(how: Plan, rooted: bool = False):
+    """Every node once a table, and once for every flip of a top bit, packed by shard; ``rooted``: with its component's root."""
 
     def of(batches):
         for batch in batches:
@@ -159,7 +162,9 @@ def _deal(how: Plan):
                 part = batch.slice(at, 4096)
                 raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
-                own = np.empty(part.num_rows, _ENTRY)
+                own = np.empty(part.num_rows, _ROOTED if rooted else _ENTRY)
+                if rooted:
+                    own["root"] = part.column(3).to_numpy(zero_copy_only=False)
                 own["node"], own["size"] = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
                 own["check"] = np.ascontiguousarray(raw[:, -(CHECK_BITS // 8) :]).view("<u8")
                 weight = np.uint32(1) << np.arange(how.bits, dtype=np.uint32)
@@ -204,13 +209,27 @@ def _apart(check: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16)
     return out
 
 
-def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndarray, table: int = 0):
-    """(places of the leaders in variant and who, links of members to leaders); ``old``: leaders already, of earlier members.
+def _mixed(variant: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which members stand in a bucket of more than one root; buckets one after the other."""
+    if not len(variant):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
+    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+    return np.repeat(mixed, np.diff(np.append(first, len(variant))))
+
+
+def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndarray, table: int = 0, leaders: int | None = None):
+    """(places of the leaders in variant and who, links of members to leaders, nodes that aren't held against each other); ``old``: leaders
+    already, of earlier members.
 
     Bucket by bucket the first by leading, then by a hash of node and ``table``, leads and is linked to what is near; then the next of those that
-    aren't linked to ``LEADERS`` yet.
+    aren't linked to ``leaders`` yet. Who is linked to as many goes on being held against new leaders. Entries with a root are
+    held against those of other roots only.
     """
+    leaders = leaders or LEADERS
+    rooted = "root" in entries.dtype.names
     node, check, size = entries["node"], entries["check"], entries["size"].astype(np.int64)
+    root = entries["root"] if rooted else node
     up, down = SIMILARITY
     draw = mix(node.view(np.uint64) ^ mix(np.full(1, table, np.uint64)))[who] >> np.uint64(33)
     draw[~old] |= np.uint64(1 << 31)
@@ -218,54 +237,78 @@ def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndar
     order = np.argsort(draw)
     del draw
     held = variant[order]
-    alone = np.ones(len(held), bool)
-    alone[1:] &= held[1:] != held[:-1]
-    alone[:-1] &= held[1:] != held[:-1]
+    if rooted:
+        alone = ~_mixed(held, root[who[order]])
+    else:
+        alone = np.ones(len(held), bool)
+        alone[1:] &= held[1:] != held[:-1]
+        alone[:-1] &= held[1:] != held[:-1]
     pool, kept, links = order[~alone], [order[alone]], []
     del order, held, alone
-    hits = np.zeros(len(variant), np.int8)
+    met, hits = pool, np.zeros(len(variant), np.int32)
     while len(pool):
         v = variant[pool]
-        first = np.concatenate(([True], v[1:] != v[:-1]))
-        heads = pool[first]
-        asks = np.flatnonzero(~first & ~old[pool])  # leaders that stood already have been held against each other
-        a, b = who[pool[asks]], who[heads[np.cumsum(first)[asks] - 1]]
+        free = np.flatnonzero(hits[pool] < leaders)
+        if not len(free):
+            break
+        free = free[np.concatenate(([True], v[free[1:]] != v[free[:-1]]))]
+        place = np.minimum(np.searchsorted(v[free], v), len(free) - 1)
+        led = v[free][place] == v  # buckets whose members all have their leaders are through
+        led[free] = False
+        heads = pool[free]
+        asks = np.flatnonzero(led & ~old[pool])  # leaders that stood already have been held against each other
+        a, b = who[pool[asks]], who[heads[place[asks]]]
+        if rooted:
+            other = root[a] != root[b]
+            asks, a, b = asks[other], a[other], b[other]
         apart = _apart(check, a, b)
         less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         near = (apart <= np.where(less < FEW, CHECK_FEW, CHECK_NEAR)) & (less * down >= more * up)
         links.append((node[a[near]], node[b[near]], apart[near]))
         hits[pool[asks[near]]] += 1
         kept.append(heads)
-        pool = pool[~first & (hits[pool] < LEADERS)]
-    return np.concatenate(kept), [np.concatenate(x) for x in zip(*links)] if links else []
+        pool = pool[led]
+    unheld = met[hits[met] >= leaders]
+    unheld = unheld[_mixed(variant[unheld], root[who[unheld]])]
+    return np.concatenate(kept), [np.concatenate(x) for x in zip(*links)] if links else [], np.unique(node[who[unheld]])
 
 
-def _meet(low_bits: int, deal: int = 0):
-    """Candidate links ``a, b, apart`` of a shard, a step of entries at a time against the leaders so far, range by range of variants."""
+def _meet(low_bits: int, deal: int = 0, leaders: int | None = None, rooted: bool = False, marks: bool = False):
+    """Candidate links ``a, b, apart`` of a shard, a step of entries at a time against the leaders so far, range by range of variants.
+
+    ``marks``: also a row ``a, a, -1`` for every node that wasn't held against all others. Rooted entries are met all at once, so that these
+    become none in the end.
+    """
 
     def of(table: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(table.column("block").to_pylist()), _ENTRY)
+        entries = np.frombuffer(b"".join(table.column("block").to_pylist()), _ROOTED if rooted else _ENTRY)
         salt = table.column("shard")[0].as_py() >> deal
-        step = max(1, STEP // (low_bits + 1))
+        step = max(1, len(entries) if rooted else STEP // (low_bits + 1))
         fine = min(low_bits, 8, max(0, math.ceil(math.log2(max(1, min(step, len(entries)) * (low_bits + 1) / RANGE)))))
-        leaders = [(np.zeros(0, np.uint32), np.zeros(0, np.uint32))] * (1 << fine)
-        found = []
+        stand = [(np.zeros(0, np.uint32), np.zeros(0, np.uint32))] * (1 << fine)
+        # between steps only leaders stand, so members of different steps may not have been held against each other
+        found, unheld = [], [np.unique(entries["node"])] if len(entries) > step else []
         for at in range(0, len(entries), step):
             more, whose = _variants(entries[at : at + step], low_bits)
             whose = (whose + at).astype(np.uint32)
             place = (more >> np.uint32(low_bits - fine)) & np.uint32((1 << fine) - 1)
-            for part, (variant, who) in enumerate(leaders):
+            for part, (variant, who) in enumerate(stand):
                 own = np.flatnonzero(place == part)
                 old = np.arange(len(variant) + len(own)) < len(variant)
                 variant, who = np.concatenate((variant, more[own])), np.concatenate((who, whose[own]))
-                kept, links = lead(variant, who, old, entries, salt)
+                kept, links, left = lead(variant, who, old, entries, salt, leaders)
                 # whoever is met no more needs no leaders
-                leaders[part] = (variant[kept], who[kept]) if at + step < len(entries) else leaders[part]
+                stand[part] = (variant[kept], who[kept]) if at + step < len(entries) else stand[part]
                 if links:
                     found.append(_nearest(*links))
+                if len(entries) <= step:
+                    unheld.append(left)
         a, b, apart = _nearest(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+        if marks and unheld:
+            left = np.unique(np.concatenate(unheld))
+            a, b, apart = np.concatenate((a, left)), np.concatenate((b, left)), np.concatenate((apart, np.full(len(left), -1)))
         out = pa.table({"a": pa.array(a), "b": pa.array(b), "apart": pa.array(apart.astype(np.int32))})
-        del entries, leaders, found
+        del entries, stand, found
         release()
         return out
 
@@ -307,15 +350,8 @@ def verified(links: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SI
     return links.select("a", "b").join(one, "a").join(two, "b").where(common * down >= both * up).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id, node, component`` for every row: the component is the smallest id that links of ``SIMILARITY`` reach."""
-    rows = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("text"))
-    how = plan(rows.count())
-    sketched = cut(rows.mapInArrow(frugal(_sketch(shingle, how.words)), "id long, node long, size long, sketch binary"), "sketches")
-    nodes = cut(sketched.groupBy("node").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    blocks = nodes.where("sketch is not null").select("node", "size", "sketch").mapInArrow(frugal(_deal(how)), "shard long, block binary")
-    met = blocks.groupBy("shard").applyInArrow(_meet(how.bits - how.deal, how.deal), "a long, b long, apart int")
-    links = cut(met.groupBy("a", "b").agg(F.min("apart").alias("apart")), "links")
+def _true(links: DataFrame, known: DataFrame | None, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``known`` links and as many verified ones of ``links`` as have the same components as all of them."""
     wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     firsts = nodes.join(wanted, "node").select(F.col("first").alias("id")).distinct()
     texts = rows.join(firsts, "id", "left_semi").select("id", "text")
@@ -324,7 +360,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "tex
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     place = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
     nearest = links.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b")
-    true = cut(verified(nearest, sets), "nearest")
+    true = verified(nearest, sets)
+    true = cut(true if known is None else known.union(true), "nearest")
     roots = components(true)
     rooted = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     apart = (
@@ -333,7 +370,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "tex
         .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
         .join(nearest, ["a", "b"], "left_anti")
     )
-    roots = components(cut(true.union(verified(apart, sets)), "verified"))
+    return cut(true.union(verified(apart, sets)), "verified")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``id, node, component`` for every row: the component is the smallest id that links of ``SIMILARITY`` reach."""
+    rows = docs.select(id_column(docs, doc_id).alias("id"), F.col(text).alias("text"))
+    how = plan(rows.count())
+    sketched = cut(rows.mapInArrow(frugal(_sketch(shingle, how.words)), "id long, node long, size long, sketch binary"), "sketches")
+    nodes = cut(sketched.groupBy("node").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
+    todo, leaders, judged, true = nodes.where("sketch is not null").select("node", "size", "sketch"), LEADERS, None, None
+    while True:
+        rooted = judged is not None
+        blocks = todo.mapInArrow(frugal(_deal(how, rooted)), "shard long, block binary")
+        meet = _meet(how.bits - how.deal, how.deal, leaders, rooted, True)
+        met = blocks.groupBy("shard").applyInArrow(meet, "a long, b long, apart int")
+        met = cut(met.groupBy("a", "b").agg(F.min("apart").alias("apart")), "links")
+        links = met.where("a <> b")
+        if rooted:  # what was refuted already
+            links = cut(links.join(judged, ["a", "b"], "left_anti"), "links")
+        if not rooted or not links.isEmpty():
+            true = _true(links, true, rows, nodes, shingle)
+            roots = components(true)
+        judged = links.select("a", "b") if judged is None else judged.union(links.select("a", "b"))
+        unheld = met.where("a = b").select(F.col("a").alias("node"))
+        if unheld.isEmpty():
+            break
+        todo = nodes.join(unheld, "node").join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+        leaders *= MORE
     classed = nodes.select("node", "first").join(roots, "node", "left").select(
         "node", "first", F.coalesce("root", "node").alias("root")
     )
