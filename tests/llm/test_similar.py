@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from llm_tools import ODD, frame, lower, words
 
 import corpus_pipeline
@@ -165,3 +166,61 @@ def test_classes_among_many_false_candidates(spark):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     kept = {r["doc_id"] for r in S.keep_first(frame(spark, rows)).collect()}
     assert kept == {i for i, r in enumerate(want) if r == i}
+
+
+def entries_of(rng, how, sizes, copies):
+    """Random sets of which the first ``copies`` are near copies of one, as entries packed by shard."""
+    own = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in sizes]
+    for i in range(1, copies):
+        own[i] = own[0].copy()
+        own[i][rng.choice(len(own[0]), len(own[0]) // 25, replace=False)] = rng.integers(0, 1 << 63, len(own[0]) // 25, dtype=np.uint64)
+    raw = S.sketches(np.concatenate([np.sort(x) for x in own]), np.array([len(x) for x in own]), how.words)
+    batch = pa.record_batch(
+        [pa.array(rng.permutation(len(own))), pa.array([len(x) for x in own]), pa.array([k.tobytes() for k in raw], pa.binary())],
+        names=["node", "size", "sketch"],
+    )
+    return pa.Table.from_batches(S._deal(how)([batch]))
+
+
+def met(how, blocks):
+    """What all shards make, rows and all."""
+    shards = sorted(set(blocks.column("shard").to_pylist()))
+    of = S._meet(how.bits - how.deal, how.deal, None, False, True)
+    return pa.concat_tables([of(blocks.filter(pa.compute.equal(blocks.column("shard"), s))) for s in shards])
+
+
+def test_a_large_shard_marks_followers_only(monkeypatch):
+    """Texts that are met in small steps or ranges make the rows they make at once; unlike ones are marked at no size of a shard."""
+    rng = np.random.default_rng(4)
+    how = S.Plan(12, 3, 1)
+    blocks = entries_of(rng, how, [60] * 600, 40)
+    want = sorted(zip(*met(how, blocks).to_pydict().values()))
+    assert len({a for a, b, _ in want if a == b}) <= 40 < len(want)
+    for step, size in ((500, 10**6), (10**6, 50), (20, 3)):
+        monkeypatch.setattr(S, "STEP", step)
+        monkeypatch.setattr(S, "RANGE", size)
+        assert sorted(zip(*met(how, blocks).to_pydict().values())) == want
+
+
+def test_rows_grow_with_the_group():
+    """Five times the near copies among five times the texts make about five times the rows."""
+    rng = np.random.default_rng(6)
+    how = S.plan(40_000)
+    small, large = (met(how, entries_of(rng, how, [100] * n, n // 4)).num_rows for n in (400, 2000))
+    assert small > 400 and large <= 8 * small
+
+
+def test_pairs_of_the_least_similarity_meet_where_they_are_dealt():
+    """The top bits by which tables are dealt agree and the others differ in few, in some table, at small and large plans."""
+    rng = np.random.default_rng(9)
+    for n_docs in (1_000_000, 12_000_000):
+        how = S.plan(n_docs)
+        assert how.deal > 1
+        for common, alone in ((4, (0, 1)), (8, (1, 1)), (16, (2, 2)), (40, (5, 5)), (40, (0, 10)), (400, (50, 50))):
+            sets = [x for pair in pairs(rng, 1500, common, alone) for x in pair]
+            raw = S.sketches(np.concatenate(sets), np.array([len(x) for x in sets]), how.words)
+            bits = np.unpackbits(raw.view(np.uint8).reshape(len(sets), -1), axis=1, bitorder="little")[:, : how.bits * how.tables]
+            apart = (bits[::2] != bits[1::2]).reshape(-1, how.tables, how.bits)
+            top = apart[:, :, how.bits - how.deal :].any(axis=2)
+            meet = (~top & (apart.sum(axis=2) <= S.RADIUS)).any(axis=1)
+            assert meet.mean() >= (0.995 if common > 4 else 0.98), (n_docs, common, alone, meet.mean())

@@ -6,9 +6,9 @@ fingerprints (tables), of independent bits over its set of five-word shingles. A
 surely: the tables are as many as it takes to miss a pair of exactly ``SIMILARITY`` once in ``1 / MISS`` times (sets of under ten
 shingles: up to once in 100 times). Fingerprints grow with the logarithm of the number of texts, so that buckets of unlike texts stay small at every size.
 
-1. Each distinct word sequence is a node, so copies cost one row. A node's variants within half the radius are itself and its
-   single flips. Nodes are shuffled by table and top bits; only flips of top bits are sent besides, the others are made where
-   they meet, which moves a tenth of the rows.
+1. Each distinct word sequence is a node, so copies cost one row. Nodes are shuffled once a table, by its top bits, and a pair meets
+   where these agree: that takes more tables, as ``plan`` counts, but sending the flips of top bits too would move several times the rows.
+   A node's variants within half the radius are itself and its single flips of the other bits, made where they meet.
 2. In each bucket members are held against the bucket's leaders, drawn anew for each table, by their sizes and 512 more SimHash
    bits; who is near less than two leaders leads too. Every member is held against every leader, and what is near is a
    candidate link; only who leads neither isn't held against each other, so that groups don't make all their pairs.
@@ -51,9 +51,8 @@ FEW, CHECK_FEW = 16, 135
 LEADERS, MORE = 2, 16
 #: Links of a node that are verified first; the others are where they still join two components.
 NEAREST = 4
-#: Variants that one shard holds, that are made at once and that are met at once, about.
-BLOCK, STEP, RANGE = 2_500_000, 3_000_000, 250_000
-_MOVED = np.uint32(1 << 31)
+#: Variants that one shard holds, that are made and met at once, about; links that are held before repeats among them go.
+BLOCK, RANGE, STEP = 10_000_000, 250_000, 3_000_000
 _LANE = np.uint64(0x0101010101010101)
 _ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8"), ("check", "<u8", CHECK_BITS // 64)])
 _ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
@@ -61,7 +60,7 @@ _ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
 
 @dataclass(frozen=True)
 class Plan:
-    """``tables`` fingerprints of ``bits`` bits, dealt by their top ``deal`` bits."""
+    """``tables`` fingerprints of ``bits`` bits, dealt by their top ``deal`` bits, in which a pair has to agree."""
 
     bits: int
     tables: int
@@ -77,9 +76,9 @@ def plan(n: int, similarity: tuple[int, int] = SIMILARITY) -> Plan:
     s = similarity[0] / similarity[1]
     p = SMALL * math.acos(2 * s / (1 + s)) / math.pi
     bits = min(30, max(16, math.ceil(math.log2(n + 1)) + 2))
-    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
-    tables = math.ceil(math.log(MISS) / math.log(1 - meet))
     deal = max(0, math.ceil(math.log2(max(1.0, n * (bits + 1) / BLOCK))))
+    meet = sum(math.comb(bits - deal, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
+    tables = math.ceil(math.log(MISS) / math.log(1 - meet))
     return Plan(bits, tables, deal)
 
 
@@ -154,7 +153,7 @@ def _sketch(shingle: int, n_words: int):
 
 
 def _deal(how: Plan, rooted: bool = False):
-    """Every node once a table, and once for every flip of a top bit, packed by shard; ``rooted``: with its component's root."""
+    """Every node once a table, packed by shard; ``rooted``: with its component's root."""
 
     def of(batches):
         for batch in batches:
@@ -170,16 +169,13 @@ def _deal(how: Plan, rooted: bool = False):
                 weight = np.uint32(1) << np.arange(how.bits, dtype=np.uint32)
                 rows = []
                 for table in range(how.tables):
-                    key = bits[:, table * how.bits : (table + 1) * how.bits] @ weight
-                    for flip in [0, *(1 << b for b in range(how.bits - how.deal, how.bits))]:
-                        sent = own.copy()
-                        sent["key"] = (key ^ np.uint32(flip)) | (_MOVED if flip else np.uint32(0))
-                        top = ((key ^ np.uint32(flip)) >> np.uint32(how.bits - how.deal)).astype(np.int64)
-                        order = np.argsort(top, kind="stable")
-                        sent, top = sent[order], top[order]
-                        cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
-                        shard = (table << how.deal) + top[cuts]
-                        rows += zip(shard.tolist(), (p.tobytes() for p in np.split(sent, cuts[1:])))
+                    own["key"] = bits[:, table * how.bits : (table + 1) * how.bits] @ weight
+                    top = (own["key"] >> np.uint32(how.bits - how.deal)).astype(np.int64)
+                    order = np.argsort(top, kind="stable")
+                    sent, top = own[order], top[order]
+                    cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+                    shard = (table << how.deal) + top[cuts]
+                    rows += zip(shard.tolist(), (p.tobytes() for p in np.split(sent, cuts[1:])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                     names=["shard", "block"],
@@ -188,16 +184,21 @@ def _deal(how: Plan, rooted: bool = False):
     return of
 
 
-def _variants(entries: np.ndarray, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(variant, its entry's place): what came by a flip of a top bit as it is, the others with all flips of the low bits."""
-    own = np.flatnonzero(entries["key"] < _MOVED)
-    flips = np.concatenate((np.zeros(1, np.uint32), np.uint32(1) << np.arange(low_bits, dtype=np.uint32)))
-    near = (entries["key"][own][:, None] ^ flips[None, :]).ravel()
-    moved = np.flatnonzero(entries["key"] >= _MOVED)
-    return (
-        np.concatenate((near, entries["key"][moved] ^ _MOVED)),
-        np.concatenate((np.repeat(own, len(flips)), moved)),
-    )
+def _variants(key: np.ndarray, low_bits: int, fine: int):
+    """(variants, their entries' places) of each of the ``1 << fine`` ranges: the keys with all single flips of ``low_bits``, whole buckets at a time."""
+    low = low_bits - fine
+    own = (key >> np.uint32(low)) & np.uint32((1 << fine) - 1)
+    order = np.argsort(own, kind="stable").astype(np.uint32)
+    cuts = np.searchsorted(own[order], np.arange((1 << fine) + 1))
+    flips = np.concatenate((np.zeros(1, np.uint32), np.uint32(1) << np.arange(low, dtype=np.uint32)))
+    for part in range(1 << fine):
+        inside = order[cuts[part] : cuts[part + 1]]
+        variant, who = [(key[inside][:, None] ^ flips[None, :]).ravel()], [np.repeat(inside, len(flips))]
+        for f in range(fine):  # from the ranges that are one flip away
+            other = part ^ (1 << f)
+            who.append(order[cuts[other] : cuts[other + 1]])
+            variant.append(key[who[-1]] ^ np.uint32(1 << (low + f)))
+        yield np.concatenate(variant), np.concatenate(who)
 
 
 def _apart(check: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -218,11 +219,10 @@ def _mixed(variant: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.repeat(mixed, np.diff(np.append(first, len(variant))))
 
 
-def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndarray, table: int = 0, leaders: int | None = None):
-    """(places of the leaders in variant and who, links of members to leaders, nodes that aren't held against each other); ``old``: leaders
-    already, of earlier members.
+def lead(variant: np.ndarray, who: np.ndarray, entries: np.ndarray, table: int = 0, leaders: int | None = None):
+    """(links of members to leaders, nodes that aren't held against each other) of whole buckets.
 
-    Bucket by bucket the first by leading, then by a hash of node and ``table``, leads and is linked to what is near; then the next of those that
+    Bucket by bucket the first by a hash of node and ``table`` leads and is linked to what is near; then the next of those that
     aren't linked to ``leaders`` yet. Who is linked to as many goes on being held against new leaders. Entries with a root are
     held against those of other roots only.
     """
@@ -231,8 +231,7 @@ def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndar
     node, check, size = entries["node"], entries["check"], entries["size"].astype(np.int64)
     root = entries["root"] if rooted else node
     up, down = SIMILARITY
-    draw = mix(node.view(np.uint64) ^ mix(np.full(1, table, np.uint64)))[who] >> np.uint64(33)
-    draw[~old] |= np.uint64(1 << 31)
+    draw = mix(node.view(np.uint64) ^ mix(np.full(1, table, np.uint64)))[who] >> np.uint64(32)
     draw |= variant.astype(np.uint64) << np.uint64(32)
     order = np.argsort(draw)
     del draw
@@ -243,7 +242,7 @@ def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndar
         alone = np.ones(len(held), bool)
         alone[1:] &= held[1:] != held[:-1]
         alone[:-1] &= held[1:] != held[:-1]
-    pool, kept, links = order[~alone], [order[alone]], []
+    pool, links = order[~alone], []
     del order, held, alone
     met, hits = pool, np.zeros(len(variant), np.int32)
     while len(pool):
@@ -256,7 +255,7 @@ def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndar
         led = v[free][place] == v  # buckets whose members all have their leaders are through
         led[free] = False
         heads = pool[free]
-        asks = np.flatnonzero(led & ~old[pool])  # leaders that stood already have been held against each other
+        asks = np.flatnonzero(led)
         a, b = who[pool[asks]], who[heads[place[asks]]]
         if rooted:
             other = root[a] != root[b]
@@ -266,49 +265,37 @@ def lead(variant: np.ndarray, who: np.ndarray, old: np.ndarray, entries: np.ndar
         near = (apart <= np.where(less < FEW, CHECK_FEW, CHECK_NEAR)) & (less * down >= more * up)
         links.append((node[a[near]], node[b[near]], apart[near]))
         hits[pool[asks[near]]] += 1
-        kept.append(heads)
         pool = pool[led]
     unheld = met[hits[met] >= leaders]
     unheld = unheld[_mixed(variant[unheld], root[who[unheld]])]
-    return np.concatenate(kept), [np.concatenate(x) for x in zip(*links)] if links else [], np.unique(node[who[unheld]])
+    return [np.concatenate(x) for x in zip(*links)] if links else [], np.unique(node[who[unheld]])
 
 
 def _meet(low_bits: int, deal: int = 0, leaders: int | None = None, rooted: bool = False, marks: bool = False):
-    """Candidate links ``a, b, apart`` of a shard, a step of entries at a time against the leaders so far, range by range of variants.
+    """Candidate links ``a, b, apart`` of a shard, range by range of variants.
 
-    ``marks``: also a row ``a, a, -1`` for every node that wasn't held against all others. Rooted entries are met all at once, so that these
-    become none in the end.
+    ``marks``: also a row ``a, a, -1`` for every node that wasn't held against all others. A bucket is met as a whole, however large its
+    shard, so that only followers of its leaders are marked.
     """
 
     def of(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(table.column("block").to_pylist()), _ROOTED if rooted else _ENTRY)
         salt = table.column("shard")[0].as_py() >> deal
-        step = max(1, len(entries) if rooted else STEP // (low_bits + 1))
-        fine = min(low_bits, 8, max(0, math.ceil(math.log2(max(1, min(step, len(entries)) * (low_bits + 1) / RANGE)))))
-        stand = [(np.zeros(0, np.uint32), np.zeros(0, np.uint32))] * (1 << fine)
-        # between steps only leaders stand, so members of different steps may not have been held against each other
-        found, unheld = [], [np.unique(entries["node"])] if len(entries) > step else []
-        for at in range(0, len(entries), step):
-            more, whose = _variants(entries[at : at + step], low_bits)
-            whose = (whose + at).astype(np.uint32)
-            place = (more >> np.uint32(low_bits - fine)) & np.uint32((1 << fine) - 1)
-            for part, (variant, who) in enumerate(stand):
-                own = np.flatnonzero(place == part)
-                old = np.arange(len(variant) + len(own)) < len(variant)
-                variant, who = np.concatenate((variant, more[own])), np.concatenate((who, whose[own]))
-                kept, links, left = lead(variant, who, old, entries, salt, leaders)
-                # whoever is met no more needs no leaders
-                stand[part] = (variant[kept], who[kept]) if at + step < len(entries) else stand[part]
-                if links:
-                    found.append(_nearest(*links))
-                if len(entries) <= step:
-                    unheld.append(left)
+        fine = min(low_bits, 10, max(0, math.ceil(math.log2(max(1, len(entries) * (low_bits + 1) / RANGE)))))
+        found, unheld = [], []
+        for variant, who in _variants(np.ascontiguousarray(entries["key"]), low_bits, fine):
+            links, left = lead(variant, who, entries, salt, leaders)
+            unheld.append(left)
+            if links:
+                found.append(_nearest(*links))
+            if sum(len(x[0]) for x in found[1:]) > STEP:
+                found = [_nearest(*(np.concatenate(x) for x in zip(*found)))]
         a, b, apart = _nearest(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
         if marks and unheld:
             left = np.unique(np.concatenate(unheld))
             a, b, apart = np.concatenate((a, left)), np.concatenate((b, left)), np.concatenate((apart, np.full(len(left), -1)))
         out = pa.table({"a": pa.array(a), "b": pa.array(b), "apart": pa.array(apart.astype(np.int32))})
-        del entries, stand, found
+        del entries, found
         release()
         return out
 
