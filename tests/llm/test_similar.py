@@ -224,3 +224,17 @@ def test_pairs_of_the_least_similarity_meet_where_they_are_dealt():
             top = apart[:, :, how.bits - how.deal :].any(axis=2)
             meet = (~top & (apart.sum(axis=2) <= S.RADIUS)).any(axis=1)
             assert meet.mean() >= (0.995 if common > 4 else 0.98), (n_docs, common, alone, meet.mean())
+
+
+def test_a_group_makes_few_links_a_node_and_loses_none():
+    """The first round makes ``NEAREST`` links a node and shard; whoever has others is marked, to be met again unless in one component."""
+    rng = np.random.default_rng(2)
+    how = S.Plan(6, 1, 0)
+    blocks = entries_of(rng, how, [200] * 300, 200)
+    rows = met(how, blocks).to_pydict()
+    links = {(a, b) for a, b in zip(rows["a"], rows["b"]) if a != b}
+    marks = {a for a, b in zip(rows["a"], rows["b"]) if a == b}
+    of = {a: sum(x == a for x, _ in links) for a, _ in links}
+    assert max(of.values()) <= S.NEAREST
+    every = set(zip(*[S._meet(6)(blocks).to_pydict()[c] for c in "ab"]))
+    assert links < every and {x for pair in every - links for x in pair} <= marks

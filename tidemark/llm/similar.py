@@ -10,12 +10,12 @@ shingles: up to once in 100 times). Fingerprints grow with the logarithm of the
    where these agree: that takes more tables, as ``plan`` counts, but sending the flips of top bits too would move several times the rows.
    A node's variants within half the radius are itself and its single flips of the other bits, made where they meet.
 2. In each bucket members are held against the bucket's leaders, drawn anew for each table, by their sizes and 512 more SimHash
-   bits; who is near less than two leaders leads too. Every member is held against every leader, and what is near is a
-   candidate link; only who leads neither isn't held against each other, so that groups don't make all their pairs.
+   bits; who is near less than two leaders leads too. Of what is near, the ``NEAREST`` to each member of a shard are candidate links.
 3. Candidate links are verified by the exact similarity of the two sets, in plain joins that adaptive execution can
    split: first each node's ``NEAREST``, then whatever still joins two components. No link is taken unverified.
-4. Members that led neither and met in a bucket are dealt once more, with the components so far: what lies in different ones is met again, now
-   with sixteen times the leaders, until no two members of different components are left unheld. No cap drops a candidate.
+4. Whoever led neither and met in a bucket, or was near to more than its candidates, is dealt once more, with the components so far: what lies in
+   different ones is met again, now with sixteen times the leaders, until no two members of different components are left unheld. These
+   are held by ``LONG_BITS`` too, and all that are near are candidates. No cap drops a candidate.
 
 Defined results: wordless and null texts are one node, of no similarity to others; a text of fewer words than a shingle
 is one shingle; rows that repeat an id are judged each by its own text; a null id is smaller than any other; an empty
@@ -47,15 +47,17 @@ SMALL = 1.12
 #: more in sets of under ``FEW`` elements.
 CHECK_BITS, CHECK_NEAR = 512, 106
 FEW, CHECK_FEW = 16, 135
+#: The bits of the later rounds: 621 differ at similarity 0.8, give or take 23, and some more in small sets; held from ``FEW`` elements on.
+LONG_BITS, LONG_NEAR = 4096, 737
 #: Leaders in a bucket that a member is near to before it stops leading itself, in the first round, and how many times that in the next.
 LEADERS, MORE = 2, 16
-#: Links of a node that are verified first; the others are where they still join two components.
+#: Links of a node that a shard of the first round makes, and that are verified first; the others are where they still join two components.
 NEAREST = 4
 #: Variants that one shard holds, that are made and met at once, about; links that are held before repeats among them go.
 BLOCK, RANGE, STEP = 10_000_000, 250_000, 3_000_000
 _LANE = np.uint64(0x0101010101010101)
 _ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8"), ("check", "<u8", CHECK_BITS // 64)])
-_ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
+_ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8"), ("long", "<u8", LONG_BITS // 64)])
 
 
 @dataclass(frozen=True)
@@ -153,17 +155,20 @@ def _sketch(shingle: int, n_words: int):
 
 
 def _deal(how: Plan, rooted: bool = False):
-    """Every node once a table, packed by shard; ``rooted``: with its component's root."""
+    """Every node once a table, packed by shard; ``rooted``: with its component's root and the long check."""
+
+    few = 1024 if rooted else 4096
 
     def of(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, few):
+                part = batch.slice(at, few)
                 raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 own = np.empty(part.num_rows, _ROOTED if rooted else _ENTRY)
                 if rooted:
                     own["root"] = part.column(3).to_numpy(zero_copy_only=False)
+                    own["long"] = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u8").reshape(part.num_rows, -1)
                 own["node"], own["size"] = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
                 own["check"] = np.ascontiguousarray(raw[:, -(CHECK_BITS // 8) :]).view("<u8")
                 weight = np.uint32(1) << np.arange(how.bits, dtype=np.uint32)
@@ -224,7 +229,7 @@ def lead(variant: np.ndarray, who: np.ndarray, entries: np.ndarray, table: int =
 
     Bucket by bucket the first by a hash of node and ``table`` leads and is linked to what is near; then the next of those that
     aren't linked to ``leaders`` yet. Who is linked to as many goes on being held against new leaders. Entries with a root are
-    held against those of other roots only.
+    held against those of other roots only, by the long check too.
     """
     leaders = leaders or LEADERS
     rooted = "root" in entries.dtype.names
@@ -263,6 +268,9 @@ def lead(variant: np.ndarray, who: np.ndarray, entries: np.ndarray, table: int =
         apart = _apart(check, a, b)
         less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         near = (apart <= np.where(less < FEW, CHECK_FEW, CHECK_NEAR)) & (less * down >= more * up)
+        if rooted:
+            asked = np.flatnonzero(near & (less >= FEW))
+            near[asked[_apart(entries["long"], a[asked], b[asked], 1 << 13) > LONG_NEAR]] = False
         links.append((node[a[near]], node[b[near]], apart[near]))
         hits[pool[asks[near]]] += 1
         pool = pool[led]
@@ -274,8 +282,8 @@ def lead(variant: np.ndarray, who: np.ndarray, entries: np.ndarray, table: int =
 def _meet(low_bits: int, deal: int = 0, leaders: int | None = None, rooted: bool = False, marks: bool = False):
     """Candidate links ``a, b, apart`` of a shard, range by range of variants.
 
-    ``marks``: also a row ``a, a, -1`` for every node that wasn't held against all others. A bucket is met as a whole, however large its
-    shard, so that only followers of its leaders are marked.
+    ``marks``: also a row ``a, a, -1`` for every node that wasn't held against all others, or has a link that isn't among the ``NEAREST``, which
+    are all that is made of entries without a root. A bucket is met as a whole, however large its shard, so that unlike texts aren't marked.
     """
 
     def of(table: pa.Table) -> pa.Table:
@@ -291,7 +299,11 @@ def _meet(low_bits: int, deal: int = 0, leaders: int | None = None, rooted: bool
             if sum(len(x[0]) for x in found[1:]) > STEP:
                 found = [_nearest(*(np.concatenate(x) for x in zip(*found)))]
         a, b, apart = _nearest(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
-        if marks and unheld:
+        if marks:
+            if not rooted:
+                made = _place(a, apart) < NEAREST
+                unheld += [a[~made], b[~made]]
+                a, b, apart = a[made], b[made], apart[made]
             left = np.unique(np.concatenate(unheld))
             a, b, apart = np.concatenate((a, left)), np.concatenate((b, left)), np.concatenate((apart, np.full(len(left), -1)))
         out = pa.table({"a": pa.array(a), "b": pa.array(b), "apart": pa.array(apart.astype(np.int32))})
@@ -313,6 +325,14 @@ def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarra
     return a[new], b[new], apart[new]
 
 
+def _place(a: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The place of each link among those of its ``a``, the nearest first; ``a`` is sorted."""
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+    out = np.empty(len(a), np.int64)
+    out[np.lexsort((apart, a))] = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    return out
+
+
 def _sets(shingle: int):
     """``node, shingles``: the distinct shingles of every text that has any."""
 
@@ -383,7 +403,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, text: str = "tex
         unheld = met.where("a = b").select(F.col("a").alias("node"))
         if unheld.isEmpty():
             break
-        todo = nodes.join(unheld, "node").join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+        todo = cut(nodes.join(unheld, "node").join(roots, "node", "left").select("node", "first", "size", "sketch", F.coalesce("root", "node").alias("root")), "unheld")
+        texts = rows.join(todo.select(F.col("first").alias("id")), "id", "left_semi").select("id", "text")
+        long = texts.mapInArrow(frugal(_sketch(shingle, LONG_BITS // 64)), "id long, node long, size long, sketch binary")
+        long = long.groupBy("node").agg(F.first("sketch").alias("long"))
+        todo = todo.join(long, "node").select("node", "size", "sketch", "root", "long")
         leaders *= MORE
     classed = nodes.select("node", "first").join(roots, "node", "left").select(
         "node", "first", F.coalesce("root", "node").alias("root")
